@@ -64,9 +64,7 @@ def ids_normalized(s: Sample) -> DataFrame:
 
 @_query
 def fee_normalized(s: Sample) -> DataFrame:
-    return s.raw_transfers.select("transfer_fee", money.fee_struct(F.col("transfer_fee")).alias("f")).select(
-        "transfer_fee", "f.*"
-    )
+    return money.with_fee(s.raw_transfers.select("transfer_fee"), "transfer_fee")
 
 
 @_query
@@ -81,11 +79,8 @@ def window_derived(s: Sample) -> DataFrame:
 @_query
 def season_normalized(s: Sample) -> DataFrame:
     season = text.null_if_missing(F.col("transfer_season"))
-    return s.raw_transfers.select(
-        "transfer_season",
-        seasons.normalize_season(season).alias("season"),
-        seasons.season_start_year(season).alias("start_year"),
-    )
+    rows = s.raw_transfers.select("transfer_season", season.alias("raw"))
+    return seasons.with_season(rows, "raw").drop("raw").withColumnRenamed("season_start", "start_year")
 
 
 @_query

@@ -192,7 +192,11 @@ class Sample:
 
     @cached_property
     def raw_transfers(self) -> DataFrame:
-        """Transfers as raw snapshot text, with every way a row can be rejected."""
+        """Transfers as raw snapshot text, with every way a row can be rejected.
+
+        The rebalance stands for the splits of the files: building the text and parsing
+        it are separate stages, each small enough to compile well.
+        """
         line, quantity = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         euros = F.floor(cents / 100).cast("bigint").cast("string")
@@ -236,7 +240,7 @@ class Sample:
             season.alias("transfer_season"),
             fee.alias("transfer_fee"),
             F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("_ordinal"),
-        )
+        ).hint("rebalance")
 
     @cached_property
     def raw_valuations(self) -> DataFrame:

@@ -1,15 +1,18 @@
 """Fee and value text to EUR cents."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.text import null_if_missing, strip
+from flowspark.functions.text import WHITESPACE, null_if_missing, strip
 
-# The amount pattern and its unit factors.
-AMOUNT = r"([0-9.,]+)[\s\u00a0]*(m|k|th)?"
-UNIT_FACTORS = {"m": 1_000_000.0, "k": 1_000.0, "th": 1_000.0}
+# An amount is a run of digits, dots and commas with an optional unit.
+AMOUNT = r"[0-9.,]+[\s\u00a0]*(?:m|k|th)?"
+UNIT_FACTORS = {"m": 1_000_000.0, "k": 1_000.0, "h": 1_000.0}
 
+# A failed cast is slow, so number text is matched before it is cast.
+_DECIMAL = r"^([0-9]+[.,]?[0-9]*|[.,][0-9]+)$"
 _PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
+_UNIT_LETTERS = "mkth"
 
 
 def cents(euros: Column) -> Column:
@@ -17,46 +20,47 @@ def cents(euros: Column) -> Column:
     return (euros * F.lit(100.0)).try_cast("bigint")
 
 
-def amount_cents(number: Column, unit: Column) -> Column:
-    """Number text (comma or dot as decimal mark) with a unit, in cents."""
-    factor = F.lit(1.0)
-    for name, value in UNIT_FACTORS.items():
-        factor = F.when(unit == name, F.lit(value)).otherwise(factor)
-    value = F.replace(number, F.lit(","), F.lit(".")).try_cast("double")
-    return cents(value * factor)
+def value_cents(raw: Column) -> Column:
+    """Plain euro text such as '60000000.0' in cents."""
+    return cents(strip(null_if_missing(raw)).try_cast("double"))
 
 
-def fee_struct(raw: Column) -> Column:
-    """Fee text as struct(fee_eur, fee_is_loan, fee_excluded).
+def with_fee(df: DataFrame, raw: str) -> DataFrame:
+    """Add fee_eur, fee_is_loan and fee_excluded from a fee text column.
 
-    A null fee is undisclosed. Excluded rows are the return leg of a loan.
+    A null fee is undisclosed. Excluded rows are the return leg of a loan. The steps
+    are separate projections so that every pattern is matched once per row; as one
+    nested expression they would be repeated in each branch that uses them.
     """
-    low = F.lower(strip(null_if_missing(raw)))
-    number = F.regexp_extract(low, AMOUNT, 1)
-    amount = amount_cents(number, F.regexp_extract(low, AMOUNT, 2))
-    without_commas = F.replace(low, F.lit(","), F.lit(""))
-    plain = F.when(
-        without_commas.rlike(_PLAIN_NUMBER), cents(without_commas.try_cast("double"))
-    )
+    low, amount, number = F.col("_low"), F.col("_amount"), F.col("_number")
 
-    returning = F.coalesce(low.contains("end of loan"), F.lit(False))
-    loan = F.coalesce(low.contains("loan"), F.lit(False)) & ~returning
-    priced_loan = low.contains("loan fee") & (number != "")
-    free = low.contains("free transfer") | (low == "free")
-    undisclosed = low.isin("", "-", "?")
+    # The unit is told by the last letter of the amount; no unit ends in a digit.
+    factor = F.lit(1.0)
+    for letter, value in UNIT_FACTORS.items():
+        factor = F.when(F.endswith(amount, F.lit(letter)), F.lit(value)).otherwise(factor)
+    priced = F.when(number.rlike(_DECIMAL), F.translate(number, ",", ".").cast("double") * factor)
+    plain = F.translate(low, ",", "")
 
+    returning, loan = F.col("fee_excluded"), F.col("_loan")
     fee = (
         F.when(low.isNull() | returning, F.lit(None).cast("bigint"))
-        .when(loan & priced_loan, amount)
-        .when(loan | free, F.lit(0).cast("bigint"))
-        .when(undisclosed, F.lit(None).cast("bigint"))
-        .otherwise(F.coalesce(amount, plain))
+        .when(loan & low.contains("loan fee") & (number != ""), F.col("_cents"))
+        .when(loan | low.contains("free transfer") | (low == "free"), F.lit(0).cast("bigint"))
+        .when(low.isin("", "-", "?"), F.lit(None).cast("bigint"))
+        .when(F.col("_cents").isNotNull(), F.col("_cents"))
+        .when(plain.rlike(_PLAIN_NUMBER), cents(plain.cast("double")))
     )
-    return F.struct(
-        fee.alias("fee_eur"), loan.alias("fee_is_loan"), returning.alias("fee_excluded")
+    return (
+        df.withColumn("_low", F.lower(strip(null_if_missing(F.col(raw)))))
+        .withColumns(
+            {
+                "_amount": F.regexp_extract("_low", AMOUNT, 0),
+                "_loan": F.coalesce(low.contains("loan"), F.lit(False)),
+                "fee_excluded": F.coalesce(low.contains("end of loan"), F.lit(False)),
+            }
+        )
+        .withColumn("_number", F.translate(amount, _UNIT_LETTERS + WHITESPACE, ""))
+        .withColumn("_cents", cents(priced))
+        .withColumns({"fee_eur": fee, "fee_is_loan": loan & ~returning})
+        .drop("_low", "_amount", "_loan", "_number", "_cents")
     )
-
-
-def value_cents(raw: Column) -> Column:
-    """Plain euro text such as '60000000.0' in cents."""
-    return cents(strip(null_if_missing(raw)).try_cast("double"))

@@ -3,7 +3,7 @@
 A window is the label of a market period, 'Summer 2023' or 'Winter 2024'.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.text import strip
@@ -11,35 +11,64 @@ from flowspark.functions.text import strip
 # Season and window patterns.
 SEASON = r"^([0-9]{2,4})[/-]([0-9]{2,4})"
 SEASON_START = r"^([0-9]{2,4})[/-]"
-WINDOW = r"^(Summer|Winter)\s+([0-9]{4})"
+WINDOW = r"^(?:Summer|Winter)\s+([0-9]{4})"
 LAST_WINDOW_KEY = 9999 * 2 + 1
 
 
 def _full_year(digits: Column) -> Column:
     """Two-digit years below 80 are 20xx, the rest 19xx; others are taken as they are."""
-    number = digits.try_cast("int")
-    short = F.when(number < 80, number + 2000).otherwise(number + 1900)
-    return F.when(F.length(digits) == 2, short).otherwise(number)
+    number = F.when(digits != "", digits).cast("int")
+    century = F.when(digits < "80", F.lit(2000)).otherwise(F.lit(1900))
+    return number + F.when(F.length(digits) == 2, century).otherwise(F.lit(0))
+
+
+def season_label(first: Column, last: Column) -> Column:
+    return F.concat(first.cast("string"), F.lit("-"), last.cast("string"))
 
 
 def normalize_season(raw: Column) -> Column:
     """'23/24', '2023/2024' and '23-24' all become '2023-2024'; else null."""
     text = strip(raw)
-    first = _full_year(F.regexp_extract(text, SEASON, 1))
-    last = _full_year(F.regexp_extract(text, SEASON, 2))
-    return F.concat(first.cast("string"), F.lit("-"), last.cast("string"))
+    return season_label(
+        _full_year(F.regexp_extract(text, SEASON, 1)), _full_year(F.regexp_extract(text, SEASON, 2))
+    )
 
 
 def season_start_year(raw: Column) -> Column:
     return _full_year(F.regexp_extract(strip(raw), SEASON_START, 1))
 
 
-def derive_window(day: Column, season: Column) -> Column:
-    """June to December is summer, January to May winter; undated rows use the season."""
+def window_label(day: Column, start_year: Column) -> Column:
+    """June to December is summer, January to May winter; undated rows use the season.
+
+    A season that starts in year 0 gives no window.
+    """
     half = F.when(F.month(day) >= 6, F.lit("Summer ")).otherwise(F.lit("Winter "))
-    start = season_start_year(season)
     return F.when(day.isNotNull(), F.concat(half, F.year(day).cast("string"))).when(
-        start != 0, F.concat(F.lit("Summer "), start.cast("string"))
+        start_year != 0, F.concat(F.lit("Summer "), start_year.cast("string"))
+    )
+
+
+def derive_window(day: Column, season: Column) -> Column:
+    return window_label(day, season_start_year(season))
+
+
+def with_season(df: DataFrame, raw: str) -> DataFrame:
+    """Add season and season_start from a season text column, matching it once."""
+    matched = F.translate(F.regexp_extract(strip(F.col(raw)), SEASON, 0), "-", "/")
+    return (
+        df.withColumn("_matched", matched)
+        .withColumns(
+            {
+                "_first": F.substring_index("_matched", "/", 1),
+                "_last": F.substring_index("_matched", "/", -1),
+            }
+        )
+        .withColumns(
+            {"season_start": _full_year(F.col("_first")), "_end": _full_year(F.col("_last"))}
+        )
+        .withColumn("season", season_label(F.col("season_start"), F.col("_end")))
+        .drop("_matched", "_first", "_last", "_end")
     )
 
 
@@ -52,9 +81,10 @@ def window_key(window: Column, order: str = "label") -> Column:
     if order not in ("label", "calendar"):
         raise ValueError(f"unknown window order: {order!r}")
     later = "Winter" if order == "label" else "Summer"
-    year = F.regexp_extract(window, WINDOW, 2).try_cast("int")
-    is_later = (F.regexp_extract(window, WINDOW, 1) == later).cast("int")
-    return F.coalesce(year * 2 + is_later, F.lit(0))
+    # One match per row: a label that matches starts with its half of the year.
+    digits = F.regexp_extract(window, WINDOW, 1)
+    year = F.when(digits != "", digits).cast("int")
+    return F.coalesce(year * 2 + window.startswith(later).cast("int"), F.lit(0))
 
 
 def event_year(day: Column, season: Column) -> Column:

@@ -22,17 +22,20 @@ def null_if_missing(text: Column) -> Column:
     return F.when(~text.isin(NULL_TOKENS), text)
 
 
+# Plain numeric ids: the whole part is read as text, never as a double.
+_WHOLE_NUMBER = r"^\+?(-?[0-9]{1,18})(?:\.[0-9]*)?$"
+
+
 def id_text(text: Column) -> Column:
     """A numeric id as whole-number text: '100.0' and '100' are both '100'.
 
-    The exact integer cast comes first, so ids above 2**53 keep every digit.
+    Ids above 2**53 keep every digit. Other number forms ('1e3') go through a
+    double; a failed cast is slow, so it is only tried on what the pattern left over.
     """
     present = strip(null_if_missing(text))
-    whole = F.coalesce(
-        present.try_cast("bigint"),
-        present.try_cast("double").try_cast("bigint"),
-    )
-    return whole.cast("string")
+    whole = F.regexp_extract(present, _WHOLE_NUMBER, 1)
+    other = present.try_cast("double").try_cast("bigint")
+    return F.when(whole != "", whole.cast("bigint")).otherwise(other).cast("string")
 
 
 def parse_date(text: Column) -> Column:

@@ -37,7 +37,7 @@ def _summarise_last(snapshot: DataFrame, key: list[str], values: list[str], ordi
 
 
 def _summarise_differing(
-    snapshot: DataFrame, key: list[str], values: list[str], ordinal: str
+    snapshot: DataFrame, key: list[str], values: list[str], ordinal: str, nullable: tuple[str, ...]
 ) -> DataFrame:
     """As above, plus the last value that differs from the last one.
 
@@ -56,16 +56,18 @@ def _summarise_differing(
         F.max(F.when(F.col("_rank") == 1, _pack(values))).alias("_last"),
         F.max(F.when(F.col("_rank") == 2, _pack(values))).alias("_previous"),
     )
-    return join_null_safe(heads, tails, key, "inner")
+    return join_on_key(heads, tails, key, nullable, "inner")
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFrame:
-    """Join on keys where null equals null; the key columns come out once."""
+def join_on_key(
+    left: DataFrame, right: DataFrame, key: list[str], nullable: tuple[str, ...], how: str
+) -> DataFrame:
+    """Equi-join whose key columns come out once; null equals null in the nullable ones."""
     l, r = left.alias("_l"), right.alias("_r")
-    condition = None
+    condition = F.lit(True)
     for k in key:
-        same = F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}"))
-        condition = same if condition is None else condition & same
+        a, b = F.col(f"_l.{k}"), F.col(f"_r.{k}")
+        condition &= a.eqNullSafe(b) if k in nullable else a == b
     keys = [F.coalesce(F.col(f"_l.{k}"), F.col(f"_r.{k}")).alias(k) for k in key]
     rest = [F.col(f"_l.`{c}`") for c in left.columns if c not in key]
     rest += [F.col(f"_r.`{c}`") for c in right.columns if c not in key]
@@ -80,8 +82,11 @@ def merge_snapshot(
     ordinal: str,
     keep: tuple[str, ...] = (),
     on_existing: str = "last_differing",
+    nullable: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Merge a snapshot into the current table; null key parts are equal.
+    """Merge a snapshot into the current table.
+
+    `nullable` names the key parts that may be null; two nulls are then equal.
 
     A new key takes its first row. A stored key takes, by `on_existing`, its last
     row ('last') or the last row that differs from the stored values
@@ -97,7 +102,7 @@ def merge_snapshot(
         summary = _summarise_last(snapshot, key, values, ordinal)
         incoming = F.col("_last")
     elif on_existing == "last_differing":
-        summary = _summarise_differing(snapshot, key, values, ordinal)
+        summary = _summarise_differing(snapshot, key, values, ordinal, nullable)
         same_as_stored = F.lit(True)
         for v in compared:
             same_as_stored &= F.col(f"_last.{v}").eqNullSafe(F.col(f"_stored.{v}"))
@@ -108,7 +113,7 @@ def merge_snapshot(
         raise ValueError(f"unknown on_existing: {on_existing!r}")
 
     stored = current.select(*key, _pack(values).alias("_stored"), *carried)
-    joined = join_null_safe(stored, summary, key, "full_outer").withColumn("_incoming", incoming)
+    joined = join_on_key(stored, summary, key, nullable, "full_outer").withColumn("_incoming", incoming)
 
     is_new, is_kept = F.col("_stored").isNull(), F.col("_first").isNull()
     unchanged = F.lit(True)

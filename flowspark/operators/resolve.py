@@ -213,27 +213,23 @@ def _lookup(rows: DataFrame, dimension: DataFrame, raw_key: str, id_name: str, o
 
 
 def transfer_rows(raw: DataFrame, ordinal: str) -> DataFrame:
-    """Typed transfer rows, with a reject_reason from what the row itself shows."""
-    fee = money.fee_struct(F.col("transfer_fee"))
-    season = null_if_missing(F.col("transfer_season"))
+    """Typed transfer rows, with a reject_reason from what the row itself shows.
+
+    Without a normal season a row is rejected, dated or not, so the window of an
+    undated row may rest on the start of the normal season.
+    """
     typed = raw.select(
         id_text(F.col("player_id")).alias("raw_player_id"),
         id_text(F.col("from_club_id")).alias("raw_from_club_id"),
         id_text(F.col("to_club_id")).alias("raw_to_club_id"),
         parse_date(F.col("transfer_date")).alias("transfer_date"),
-        season.alias("raw_season"),
-        fee.alias("fee"),
+        null_if_missing(F.col("transfer_season")).alias("raw_season"),
+        "transfer_fee",
         ordinal,
     )
-    typed = typed.select(
-        "raw_player_id",
-        "raw_from_club_id",
-        "raw_to_club_id",
-        "transfer_date",
-        "fee.*",
-        seasons.derive_window(F.col("transfer_date"), F.col("raw_season")).alias("transfer_window"),
-        seasons.normalize_season(F.col("raw_season")).alias("season"),
-        ordinal,
+    typed = seasons.with_season(money.with_fee(typed, "transfer_fee"), "raw_season")
+    typed = typed.withColumn(
+        "transfer_window", seasons.window_label(F.col("transfer_date"), F.col("season_start"))
     )
     reason = (
         F.when(F.col("fee_excluded"), "excluded_fee")
@@ -241,7 +237,9 @@ def transfer_rows(raw: DataFrame, ordinal: str) -> DataFrame:
         .when(F.col("raw_from_club_id").isNull() | F.col("raw_to_club_id").isNull(), "missing_club")
         .when(F.col("transfer_window").isNull() | F.col("season").isNull(), "no_window_or_season")
     )
-    return typed.withColumn(REASON, reason).drop("fee_excluded")
+    return typed.withColumn(REASON, reason).drop(
+        "transfer_fee", "raw_season", "fee_excluded", "season_start"
+    )
 
 
 def resolve_transfers(

@@ -61,7 +61,9 @@ def merge_transfers(current: DataFrame, accepted: DataFrame) -> DataFrame:
     """Upsert by natural key with change detection."""
     rows = accepted.select(*TRANSFER_KEY, *TRANSFER_VALUES, ORDINAL)
     stored = current.select(*TRANSFER_KEY, *TRANSFER_VALUES)
-    merged = merge.merge_snapshot(stored, rows, TRANSFER_KEY, TRANSFER_VALUES, ORDINAL)
+    merged = merge.merge_snapshot(
+        stored, rows, TRANSFER_KEY, TRANSFER_VALUES, ORDINAL, nullable=("transfer_date",)
+    )
     return merged.withColumn(
         "id", transfer_row_id(*[F.col(c) for c in TRANSFER_KEY])
     ).withColumn("window_key", window_key(F.col("transfer_window")))

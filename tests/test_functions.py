@@ -51,8 +51,8 @@ FEES = [
 
 def test_fees(spark):
     df = spark.createDataFrame([(i, f[0]) for i, f in enumerate(FEES)], "i int, t string")
-    rows = df.select("i", money.fee_struct(F.col("t")).alias("f")).orderBy("i").collect()
-    got = [(FEES[r.i][0], r.f.fee_eur, r.f.fee_is_loan, r.f.fee_excluded) for r in rows]
+    rows = money.with_fee(df, "t").orderBy("i").collect()
+    got = [(FEES[r.i][0], r.fee_eur, r.fee_is_loan, r.fee_excluded) for r in rows]
     assert got == FEES
 
 
@@ -80,9 +80,11 @@ def test_seasons(spark, ansi):
             seasons.normalize_season(F.col("s")).alias("n"),
             seasons.season_start_year(F.col("s")).alias("y"),
         ).collect()
+        staged = {r.i: r.season for r in seasons.with_season(df, "s").collect()}
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
     assert {r.i: (r.n, r.y) for r in rows} == {i: c[1:] for i, c in enumerate(cases)}
+    assert staged == {i: c[1] for i, c in enumerate(cases)}
 
 
 def test_windows(spark):
