@@ -70,17 +70,17 @@ def fee_normalized(s: Sample) -> DataFrame:
 @_query
 def window_derived(s: Sample) -> DataFrame:
     day = text.parse_date(F.col("transfer_date"))
-    season = text.null_if_missing(F.col("transfer_season"))
     return s.raw_transfers.select(
-        "transfer_date", "transfer_season", seasons.derive_window(day, season).alias("transfer_window")
+        "transfer_date",
+        "transfer_season",
+        seasons.derive_window(day, F.col("transfer_season")).alias("transfer_window"),
     )
 
 
 @_query
 def season_normalized(s: Sample) -> DataFrame:
-    season = text.null_if_missing(F.col("transfer_season"))
-    rows = s.raw_transfers.select("transfer_season", season.alias("raw"))
-    return seasons.with_season(rows, "raw").drop("raw").withColumnRenamed("season_start", "start_year")
+    rows = seasons.with_season(s.raw_transfers.select("transfer_season"), "transfer_season")
+    return rows.withColumnRenamed("season_start", "start_year")
 
 
 @_query
@@ -158,12 +158,12 @@ def filter_country(s: Sample) -> DataFrame:
 
 @_query
 def country_flows_by_window(s: Sample) -> DataFrame:
-    return aggregates.country_flows_by_window(s.transfers, s.clubs)
+    return aggregates.country_flows_by_window(s.transfers, s.clubs).drop("window_key")
 
 
 @_query
 def club_summaries_by_window(s: Sample) -> DataFrame:
-    return aggregates.club_summaries_by_window(s.transfers)
+    return aggregates.club_summaries_by_window(s.transfers).drop("window_key")
 
 
 @_query
@@ -207,9 +207,7 @@ def countries_in_scope(s: Sample) -> DataFrame:
 
 @_query
 def top_clubs(s: Sample) -> DataFrame:
-    totals = countries.club_totals(s.tables, COUNTRY, RANGE)
-    buyers = countries.top_buyers(totals).withColumn("list", F.lit("buyers"))
-    return buyers.unionByName(countries.top_sellers(totals).withColumn("list", F.lit("sellers")))
+    return countries.top_lists(countries.club_totals(s.tables, COUNTRY, RANGE))
 
 
 @_query
@@ -265,12 +263,7 @@ def country_transfers_total(s: Sample) -> DataFrame:
 
 @_query
 def club_search(s: Sample) -> DataFrame:
-    tables = s.tables
-    in_leagues = type(tables)(
-        tables.countries, tables.leagues, s.clubs_in_leagues, tables.players, tables.transfers,
-        tables.player_valuations,
-    )
-    return clubs.search_clubs(in_leagues, "ER#0000000_1", 20)
+    return clubs.search_clubs(s.tables_with_leagues, "ER#0000000_1", 20)
 
 
 @_query

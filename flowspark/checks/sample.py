@@ -4,10 +4,12 @@ Clubs are suppliers and customers, players are parts, transfers are lineitems wi
 their orders, valuations are events. Nothing here is materialised.
 """
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.functions import money, seasons
 from flowspark.functions.ids import transfer_row_id
@@ -16,6 +18,7 @@ from flowspark.operators.merge import first_per_key
 from flowspark.plans.tables import Tables
 
 _COORDINATE = "decimal(9,6)"
+_SCHEMAS: dict[str, T.StructType] = {}
 _PLAYS = {
     "PROMO": "Goalkeeper",
     "ECONOMY": "Defender",
@@ -38,7 +41,11 @@ class Sample:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A test table; its footer is read for the schema once per process."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def countries(self) -> DataFrame:
@@ -188,6 +195,10 @@ class Sample:
             player_valuations=self.player_valuations,
         )
 
+    @cached_property
+    def tables_with_leagues(self) -> Tables:
+        return replace(self.tables, clubs=self.clubs_in_leagues)
+
     # --- raw text, as a snapshot would hold it -----------------------------------
 
     @cached_property

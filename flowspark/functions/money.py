@@ -9,8 +9,7 @@ from flowspark.functions.text import WHITESPACE, null_if_missing, strip
 AMOUNT = r"[0-9.,]+[\s\u00a0]*(?:m|k|th)?"
 UNIT_FACTORS = {"m": 1_000_000.0, "k": 1_000.0, "h": 1_000.0}
 
-# A failed cast is slow, so number text is matched before it is cast.
-_DECIMAL = r"^([0-9]+[.,]?[0-9]*|[.,][0-9]+)$"
+# A failed cast is slow, so number text is checked before it is cast.
 _PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
 _UNIT_LETTERS = "mkth"
 
@@ -38,7 +37,9 @@ def with_fee(df: DataFrame, raw: str) -> DataFrame:
     factor = F.lit(1.0)
     for letter, value in UNIT_FACTORS.items():
         factor = F.when(F.endswith(amount, F.lit(letter)), F.lit(value)).otherwise(factor)
-    priced = F.when(number.rlike(_DECIMAL), F.translate(number, ",", ".").cast("double") * factor)
+    digits = F.translate(number, ".,", "")
+    is_decimal = (digits != "") & (F.length(number) - F.length(digits) <= 1)
+    priced = F.when(is_decimal, F.translate(number, ",", ".").cast("double") * factor)
     plain = F.translate(low, ",", "")
 
     returning, loan = F.col("fee_excluded"), F.col("_loan")

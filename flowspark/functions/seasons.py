@@ -6,11 +6,9 @@ A window is the label of a market period, 'Summer 2023' or 'Winter 2024'.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.text import strip
-
 # Season and window patterns.
-SEASON = r"^([0-9]{2,4})[/-]([0-9]{2,4})"
-SEASON_START = r"^([0-9]{2,4})[/-]"
+SEASON = r"^[\s\u00a0]*([0-9]{2,4}[/-][0-9]{2,4})"
+SEASON_START = r"^[\s\u00a0]*([0-9]{2,4})[/-]"
 WINDOW = r"^(?:Summer|Winter)\s+([0-9]{4})"
 LAST_WINDOW_KEY = 9999 * 2 + 1
 
@@ -26,16 +24,22 @@ def season_label(first: Column, last: Column) -> Column:
     return F.concat(first.cast("string"), F.lit("-"), last.cast("string"))
 
 
+def _years(matched: Column) -> tuple[Column, Column]:
+    """Both years of 'first/last' or 'first-last'; null for an empty match."""
+    text = F.translate(matched, "-", "/")
+    return (
+        _full_year(F.substring_index(text, "/", 1)),
+        _full_year(F.substring_index(text, "/", -1)),
+    )
+
+
 def normalize_season(raw: Column) -> Column:
     """'23/24', '2023/2024' and '23-24' all become '2023-2024'; else null."""
-    text = strip(raw)
-    return season_label(
-        _full_year(F.regexp_extract(text, SEASON, 1)), _full_year(F.regexp_extract(text, SEASON, 2))
-    )
+    return season_label(*_years(F.regexp_extract(raw, SEASON, 1)))
 
 
 def season_start_year(raw: Column) -> Column:
-    return _full_year(F.regexp_extract(strip(raw), SEASON_START, 1))
+    return _full_year(F.regexp_extract(raw, SEASON_START, 1))
 
 
 def window_label(day: Column, start_year: Column) -> Column:
@@ -55,20 +59,12 @@ def derive_window(day: Column, season: Column) -> Column:
 
 def with_season(df: DataFrame, raw: str) -> DataFrame:
     """Add season and season_start from a season text column, matching it once."""
-    matched = F.translate(F.regexp_extract(strip(F.col(raw)), SEASON, 0), "-", "/")
+    first, last = _years(F.col("_matched"))
     return (
-        df.withColumn("_matched", matched)
-        .withColumns(
-            {
-                "_first": F.substring_index("_matched", "/", 1),
-                "_last": F.substring_index("_matched", "/", -1),
-            }
-        )
-        .withColumns(
-            {"season_start": _full_year(F.col("_first")), "_end": _full_year(F.col("_last"))}
-        )
+        df.withColumn("_matched", F.regexp_extract(raw, SEASON, 1))
+        .withColumns({"season_start": first, "_end": last})
         .withColumn("season", season_label(F.col("season_start"), F.col("_end")))
-        .drop("_matched", "_first", "_last", "_end")
+        .drop("_matched", "_end")
     )
 
 

@@ -22,22 +22,23 @@ def null_if_missing(text: Column) -> Column:
     return F.when(~text.isin(NULL_TOKENS), text)
 
 
-# Plain numeric ids: the whole part is read as text, never as a double.
-_WHOLE_NUMBER = r"^\+?(-?[0-9]{1,18})(?:\.[0-9]*)?$"
+# Whole part of a plain number without leading zeros, and numbers with an exponent.
+_WHOLE_PART = r"^[\s+]*0*(-?[0-9]+)(?:\.[0-9]*)?\s*$"
+_WITH_EXPONENT = r"^\s*[+-]?[0-9.]+[eE][+-]?[0-9]+\s*$"
 
 
 def id_text(text: Column) -> Column:
     """A numeric id as whole-number text: '100.0' and '100' are both '100'.
 
-    Ids above 2**53 keep every digit. Other number forms ('1e3') go through a
-    double; a failed cast is slow, so it is only tried on what the pattern left over.
+    The digits are taken as text, so long ids keep all of them. Missing-value tokens
+    and other text match no number and are null. One short expression: three of them
+    must fit a generated method that the JVM still compiles.
     """
-    present = strip(null_if_missing(text))
-    whole = F.regexp_extract(present, _WHOLE_NUMBER, 1)
-    other = present.try_cast("double").try_cast("bigint")
-    return F.when(whole != "", whole.cast("bigint")).otherwise(other).cast("string")
+    whole = F.regexp_extract(text, _WHOLE_PART, 1)
+    exponent = text.try_cast("double").try_cast("bigint").cast("string")
+    return F.when(whole != "", whole).when(text.rlike(_WITH_EXPONENT), exponent)
 
 
 def parse_date(text: Column) -> Column:
     """ISO-like dates (with or without a time part); anything else is null."""
-    return strip(null_if_missing(text)).try_cast("date")
+    return text.try_cast("date")

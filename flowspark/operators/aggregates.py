@@ -35,12 +35,18 @@ def sums(names: tuple[str, ...]) -> list[Column]:
     return [F.sum(n).alias(n) for n in names]
 
 
+def window_columns(transfers: DataFrame) -> list[str]:
+    """The window label, with its sort key where the transfers have one."""
+    return [c for c in ("transfer_window", "window_key") if c in transfers.columns]
+
+
 def country_flows_by_window(transfers: DataFrame, clubs: DataFrame) -> DataFrame:
     """Fee sum, permanent count and loan count per country pair and window."""
-    rows = transfers.select("from_club_id", "to_club_id", "transfer_window", "fee_eur", "fee_is_loan")
+    window = window_columns(transfers)
+    rows = transfers.select("from_club_id", "to_club_id", *window, "fee_eur", "fee_is_loan")
     return (
         with_both_clubs(rows, clubs, "country_id")
-        .groupBy("from_country_id", "to_country_id", "transfer_window")
+        .groupBy("from_country_id", "to_country_id", *window)
         .agg(*flow_measures())
     )
 
@@ -71,15 +77,16 @@ def club_summaries_by_window(transfers: DataFrame) -> DataFrame:
 
     Money leaves loans out; the counts keep them.
     """
-    zero, one, window = F.lit(0).cast("bigint"), F.lit(1), F.col("transfer_window")
-    fee = permanent_fee()
-    names = ("club_id", "transfer_window", *CLUB_MEASURES)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1)
+    fee, window = permanent_fee(), window_columns(transfers)
+    when = [F.col(c) for c in window]
+    names = ("club_id", *window, *CLUB_MEASURES)
     legs = both_sides(
         transfers,
-        dict(zip(names, (F.col("to_club_id"), window, fee, zero, one, F.lit(0)))),
-        dict(zip(names, (F.col("from_club_id"), window, zero, fee, F.lit(0), one))),
+        dict(zip(names, (F.col("to_club_id"), *when, fee, zero, one, F.lit(0)))),
+        dict(zip(names, (F.col("from_club_id"), *when, zero, fee, F.lit(0), one))),
     )
-    return legs.groupBy("club_id", "transfer_window").agg(*sums(CLUB_MEASURES))
+    return legs.groupBy("club_id", *window).agg(*sums(CLUB_MEASURES))
 
 
 def net_spend(flows: DataFrame) -> DataFrame:
@@ -102,18 +109,18 @@ def net_spend(flows: DataFrame) -> DataFrame:
 
 
 def node_totals(flows: DataFrame) -> DataFrame:
-    """Fee volume and transfer count per country over both ends.
+    """Fee volume and transfer count per country over both ends, and its net spend.
 
-    A domestic flow counts twice.
+    A domestic flow counts twice, and cancels out in the net spend.
     """
     fee, count = F.col("total_fee_eur"), F.col("transfer_count")
-    names = ("country_id", "volume", "transfer_count")
+    names = ("country_id", "volume", "transfer_count", "net_spend_eur")
     legs = both_sides(
         flows,
-        dict(zip(names, (F.col("to_country_id"), fee, count))),
-        dict(zip(names, (F.col("from_country_id"), fee, count))),
+        dict(zip(names, (F.col("to_country_id"), fee, count, fee))),
+        dict(zip(names, (F.col("from_country_id"), fee, count, -fee))),
     )
-    return legs.groupBy("country_id").agg(*sums(("volume", "transfer_count")))
+    return legs.groupBy("country_id").agg(*sums(names[1:]))
 
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:

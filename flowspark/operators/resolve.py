@@ -223,11 +223,11 @@ def transfer_rows(raw: DataFrame, ordinal: str) -> DataFrame:
         id_text(F.col("from_club_id")).alias("raw_from_club_id"),
         id_text(F.col("to_club_id")).alias("raw_to_club_id"),
         parse_date(F.col("transfer_date")).alias("transfer_date"),
-        null_if_missing(F.col("transfer_season")).alias("raw_season"),
+        "transfer_season",
         "transfer_fee",
         ordinal,
     )
-    typed = seasons.with_season(money.with_fee(typed, "transfer_fee"), "raw_season")
+    typed = seasons.with_season(money.with_fee(typed, "transfer_fee"), "transfer_season")
     typed = typed.withColumn(
         "transfer_window", seasons.window_label(F.col("transfer_date"), F.col("season_start"))
     )
@@ -238,7 +238,7 @@ def transfer_rows(raw: DataFrame, ordinal: str) -> DataFrame:
         .when(F.col("transfer_window").isNull() | F.col("season").isNull(), "no_window_or_season")
     )
     return typed.withColumn(REASON, reason).drop(
-        "transfer_fee", "raw_season", "fee_excluded", "season_start"
+        "transfer_fee", "transfer_season", "fee_excluded", "season_start"
     )
 
 

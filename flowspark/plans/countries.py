@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.operators import aggregates
@@ -99,41 +99,67 @@ def top_sellers(totals: DataFrame) -> DataFrame:
     return _top(totals, "total_received_eur", "players_sold")
 
 
-def country_header(tables: Tables, country_id: int, totals: DataFrame) -> DataFrame:
-    """The country with two net spends: over its top lists, and over all its clubs."""
+def top_lists(totals: DataFrame) -> DataFrame:
+    """Both top lists from one evaluation of the totals, told apart by `list`.
 
-    def total(df: DataFrame, column: str) -> Column:
-        return F.coalesce(df.agg(F.sum(column)).scalar(), F.lit(0))
+    Spark applies the rank limit before the shuffle too, so each task passes on at most
+    one list length of rows per list.
+    """
 
-    top = total(top_buyers(totals), "total_spent_eur") - total(top_sellers(totals), "total_received_eur")
-    net = F.coalesce(
-        totals.agg(F.sum(F.col("total_spent_eur") - F.col("total_received_eur"))).scalar(), F.lit(0)
+    def entry(name: str, money: str, count: str) -> Column:
+        return F.struct(
+            F.lit(name).alias("list"),
+            "club_id",
+            "club_name",
+            "total_spent_eur",
+            "total_received_eur",
+            F.col(count).alias("transfer_count"),
+            F.col(money).alias("_ranked"),
+        )
+
+    entries = totals.select(
+        F.inline(
+            F.array(
+                entry("buyers", "total_spent_eur", "players_bought"),
+                entry("sellers", "total_received_eur", "players_sold"),
+            )
+        )
+    )
+    best = Window.partitionBy("list").orderBy(F.col("_ranked").desc(), "club_id")
+    ranked = entries.withColumn("_rank", F.row_number().over(best))
+    return ranked.filter(F.col("_rank") <= TOP_CLUBS).drop("_ranked", "_rank")
+
+
+def _sum_of(list_name: str, column: str) -> Column:
+    return F.coalesce(F.sum(F.when(F.col("list") == list_name, F.col(column))), F.lit(0))
+
+
+def country_header(tables: Tables, country_id: int, totals: DataFrame) -> DataFrame:
+    """The country with two net spends: over its top lists, and over all its clubs."""
+    top = top_lists(totals).agg(
+        _sum_of("buyers", "total_spent_eur") - _sum_of("sellers", "total_received_eur")
+    )
+    net = totals.agg(
+        F.coalesce(F.sum(F.col("total_spent_eur") - F.col("total_received_eur")), F.lit(0))
     )
     return _scoped(tables, country_id).select(
-        "id", "name", "iso_code", top.alias("net_spend_top5"), net.alias("net_spend")
+        "id", "name", "iso_code", top.scalar().alias("net_spend_top5"), net.scalar().alias("net_spend")
     )
 
 
 def country_pair_totals(totals: DataFrame) -> DataFrame:
     """Panel totals of a country pair: sums over the two top lists, and the net flow."""
-    bought = top_buyers(totals).select(
-        F.col("total_spent_eur").alias("spent"), F.col("transfer_count").alias("buys"),
-        F.lit(0).cast("bigint").alias("received"), F.lit(0).cast("bigint").alias("sales"),
-    )
-    sold = top_sellers(totals).select(
-        F.lit(0).cast("bigint").alias("spent"), F.lit(0).cast("bigint").alias("buys"),
-        F.col("total_received_eur").alias("received"), F.col("transfer_count").alias("sales"),
-    )
-    sums = bought.unionByName(sold).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("spent", "buys", "received", "sales")]
+    sums = top_lists(totals).agg(
+        _sum_of("buyers", "total_spent_eur").alias("total_spent_eur"),
+        _sum_of("buyers", "transfer_count").alias("buy_count"),
+        _sum_of("sellers", "total_received_eur").alias("total_received_eur"),
+        _sum_of("sellers", "transfer_count").alias("sell_count"),
     )
+    spent, received = F.col("total_spent_eur"), F.col("total_received_eur")
     return sums.select(
-        F.col("spent").alias("total_spent_eur"),
-        F.col("buys").alias("buy_count"),
-        F.col("received").alias("total_received_eur"),
-        F.col("sales").alias("sell_count"),
-        F.abs(F.col("spent") - F.col("received")).alias("net_flow_eur"),
-        (F.col("spent") > F.col("received")).alias("flows_to_counterpart"),
+        "*",
+        F.abs(spent - received).alias("net_flow_eur"),
+        (spent > received).alias("flows_to_counterpart"),
     )
 
 
@@ -146,8 +172,10 @@ def country_transfers(
 ) -> DataFrame:
     """All transfers of a country's clubs that pass the filters (not the country list)."""
     transfers = flt.on_transfer_columns(tables.transfers, filters)
-    joined = lookups.with_both_clubs(transfers, tables.clubs, "country_id", "name")
-    chosen = joined.filter(flt.direction_of(country_id, counterpart_id, direction))
+    placed = lookups.with_both_clubs(transfers, tables.clubs, "country_id")
+    chosen = placed.filter(flt.direction_of(country_id, counterpart_id, direction))
+    # Names only join what is left; the joins of all transfers carry ids alone.
+    named = lookups.with_both_clubs(chosen, tables.clubs, "name")
     players = tables.players.select(
         "id",
         F.col("name").alias("player_name"),
@@ -156,7 +184,7 @@ def country_transfers(
         "date_of_birth",
     )
     rows = lookups.with_player(
-        chosen, players, filters, "player_name", "player_transfermarkt_url", "position_group"
+        named, players, filters, "player_name", "player_transfermarkt_url", "position_group"
     )
     return rows.filter(_scoped(tables, country_id).exists()).select(
         F.col("id").alias("transfer_id"),

@@ -72,16 +72,26 @@ def net_pair_flows(tables: Tables, filters: TransferFilters = ALL) -> DataFrame:
     pairs = flows.groupBy(low.alias("low_id"), high.alias("high_id")).agg(
         F.sum(F.when(F.col("from_country_id") == low, -fee).otherwise(fee)).alias("net_fee"),
         F.sum("transfer_count").alias("total_transfers"),
+        F.max(fee).alias("largest_fee"),
     )
-    by_count = F.coalesce(flows.agg(F.max("total_fee_eur") == 0).scalar(), F.lit(True))
-    measured = pairs.withColumn("by_count", by_count).withColumn(
-        "magnitude",
-        F.when(F.col("by_count"), F.col("total_transfers")).otherwise(F.abs("net_fee")),
-    )
-    largest = F.greatest(measured.agg(F.max("magnitude")).scalar(), F.lit(1))
-    kept = measured.withColumn("largest", largest).filter(
-        F.col("magnitude") >= F.col("largest") * MINOR_FLOW_SHARE
-    )
+    # One subquery over the same columns as the main query, so that Spark reuses the
+    # exchange of the pairs instead of reading the flows again.
+    scale = pairs.agg(
+        F.struct(
+            F.max("largest_fee").alias("fee"),
+            F.max(F.abs("net_fee")).alias("net"),
+            F.max("total_transfers").alias("transfers"),
+        )
+    ).scalar()
+    measured = pairs.withColumn("scale", scale).withColumn("by_count", F.col("scale.fee") == 0)
+    kept = measured.withColumns(
+        {
+            "magnitude": F.when(F.col("by_count"), F.col("total_transfers")).otherwise(F.abs("net_fee")),
+            "largest": F.greatest(
+                F.when(F.col("by_count"), F.col("scale.transfers")).otherwise(F.col("scale.net")), F.lit(1)
+            ),
+        }
+    ).filter(F.col("magnitude") >= F.col("largest") * MINOR_FLOW_SHARE)
     low_spends = F.col("by_count") | (F.col("net_fee") >= 0)
     oriented = kept.select(
         F.when(low_spends, F.col("low_id")).otherwise(F.col("high_id")).alias("spender_id"),
@@ -108,19 +118,24 @@ def country_node_totals(tables: Tables, filters: TransferFilters = ALL) -> DataF
     size_share is the square root of the share of the largest node, by volume or, if
     no flow has a fee, by count. net_share is |net spend| against the largest.
     """
-    flows = country_flows(tables, filters)
-    totals = aggregates.node_totals(flows)
-    spend = aggregates.net_spend(flows).select("country_id", "net_spend_eur")
-    nodes = totals.join(spend, "country_id")
-    by_count = F.coalesce(flows.agg(F.max("total_fee_eur") == 0).scalar(), F.lit(True))
-    sized = nodes.withColumn("size", F.when(by_count, F.col("transfer_count")).otherwise(F.col("volume")))
-    largest_size = F.greatest(sized.agg(F.max("size")).scalar(), F.lit(1))
-    largest_net = F.greatest(sized.agg(F.max(F.abs("net_spend_eur"))).scalar(), F.lit(1))
-    return sized.select(
+    nodes = aggregates.node_totals(country_flows(tables, filters))
+    scale = nodes.agg(
+        F.struct(
+            F.max("volume").alias("volume"),
+            F.max("transfer_count").alias("transfers"),
+            F.max(F.abs("net_spend_eur")).alias("net"),
+        )
+    ).scalar()
+    scaled = nodes.withColumn("scale", scale)
+    # Volumes are sums of the flow fees, so none of those is above 0 if no volume is.
+    by_count = F.col("scale.volume") == 0
+    size = F.when(by_count, F.col("transfer_count")).otherwise(F.col("volume"))
+    largest = F.when(by_count, F.col("scale.transfers")).otherwise(F.col("scale.volume"))
+    return scaled.select(
         "country_id",
         "volume",
         "transfer_count",
         "net_spend_eur",
-        F.sqrt(F.col("size") / largest_size).alias("size_share"),
-        (F.abs("net_spend_eur") / largest_net).alias("net_share"),
+        F.sqrt(size / F.greatest(largest, F.lit(1))).alias("size_share"),
+        (F.abs("net_spend_eur") / F.greatest("scale.net", F.lit(1))).alias("net_share"),
     )

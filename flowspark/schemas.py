@@ -49,7 +49,7 @@ PLAYERS = _schema(
 )
 
 # window_key repeats transfer_window as a sortable number, so that a range of
-# windows can skip Parquet row groups.
+# windows is a comparison that can skip Parquet row groups.
 TRANSFERS = _schema(
     ("id", T.StringType()),
     ("player_id", T.LongType()),
@@ -73,6 +73,7 @@ COUNTRY_TRANSFER_FLOWS = _schema(
     ("from_country_id", T.IntegerType()),
     ("to_country_id", T.IntegerType()),
     ("transfer_window", T.StringType()),
+    ("window_key", T.IntegerType()),
     ("total_fee_eur", T.LongType()),
     ("transfer_count", T.LongType()),
     ("loan_count", T.LongType()),
@@ -81,6 +82,7 @@ COUNTRY_TRANSFER_FLOWS = _schema(
 CLUB_TRANSFER_SUMMARIES = _schema(
     ("club_id", T.LongType()),
     ("transfer_window", T.StringType()),
+    ("window_key", T.IntegerType()),
     ("total_spent_eur", T.LongType()),
     ("total_received_eur", T.LongType()),
     ("players_bought", T.LongType()),

@@ -44,6 +44,10 @@ FEES = [
     ("1,500,000d", None, False, False),
     ("draft", None, False, False),
     ("nan", None, False, False),
+    ("-1.#IND", None, False, False),
+    ("12.", 1200, False, False),
+    (".5m", 50_000_000, False, False),
+    ("..", None, False, False),
     ("infinity", None, False, False),
     ("19.99", 1998, False, False),
 ]
@@ -118,7 +122,8 @@ def test_window_keys(spark):
 
 def test_id_text(spark):
     cases = {"100": "100", "100.0": "100", " 7 ": "7", "": None, "NaN": None, None: None,
-             "9007199254740993": "9007199254740993", "abc": None, "1e3": "1000"}
+             "9007199254740993": "9007199254740993", "abc": None, "1e3": "1000", "1e+05": "100000",
+             "007": "7", "0": "0", "+5.": "5", "None": None, "1.2.3": None, "nan": None}
     df = spark.createDataFrame([(k,) for k in cases], "v string")
     rows = df.select("v", text.id_text(F.col("v")).alias("t")).collect()
     assert {r.v: r.t for r in rows} == cases
