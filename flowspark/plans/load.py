@@ -4,6 +4,7 @@ import logging
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ TRANSFER_KEY = ["player_id", "transfer_date", "from_club_id", "to_club_id"]
 TRANSFER_VALUES = ["fee_eur", "fee_is_loan", "transfer_window", "season"]
 VALUATION_KEY = ["player_id", "valuation_date"]
 EXTERNAL_KEY = ["transfermarkt_id"]
+MERGED_TABLES = ("players", "clubs", "transfers", "player_valuations")
 
 
 # --- merges ----------------------------------------------------------------------
@@ -57,21 +59,28 @@ def merge_clubs(current: DataFrame, resolved_clubs: DataFrame) -> DataFrame:
     return _number_new(merged, current)
 
 
-def merge_transfers(current: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Upsert by natural key with change detection."""
+def merge_transfers(current: DataFrame, accepted: DataFrame, first_load: bool = False) -> DataFrame:
+    """Upsert by natural key with change detection.
+
+    On a first load there is nothing to differ from, so the cheaper summary will do.
+    """
     rows = accepted.select(*TRANSFER_KEY, *TRANSFER_VALUES, ORDINAL)
     stored = current.select(*TRANSFER_KEY, *TRANSFER_VALUES)
     merged = merge.merge_snapshot(
-        stored, rows, TRANSFER_KEY, TRANSFER_VALUES, ORDINAL, nullable=("transfer_date",)
+        stored, rows, TRANSFER_KEY, TRANSFER_VALUES, ORDINAL,
+        on_existing="last" if first_load else "last_differing", nullable=("transfer_date",),
     )
     return merged.withColumn(
         "id", transfer_row_id(*[F.col(c) for c in TRANSFER_KEY])
     ).withColumn("window_key", window_key(F.col("transfer_window")))
 
 
-def merge_valuations(current: DataFrame, accepted: DataFrame) -> DataFrame:
+def merge_valuations(current: DataFrame, accepted: DataFrame, first_load: bool = False) -> DataFrame:
     rows = accepted.select(*VALUATION_KEY, "valuation_eur", ORDINAL)
-    return merge.merge_snapshot(current, rows, VALUATION_KEY, ["valuation_eur"], ORDINAL)
+    return merge.merge_snapshot(
+        current, rows, VALUATION_KEY, ["valuation_eur"], ORDINAL,
+        on_existing="last" if first_load else "last_differing",
+    )
 
 
 # --- the job ---------------------------------------------------------------------
@@ -109,10 +118,16 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
-def _processed(store: TableStore, table: str, version: str) -> int:
-    """Accepted snapshot rows of a table, unchanged and duplicate ones included."""
-    total = store.outcomes(table, version).agg(F.coalesce(F.sum(merge.ROWS), F.lit(0)))
-    return int(total.first()[0])
+def _processed(store: TableStore, version: str) -> dict[str, int]:
+    """Accepted snapshot rows per merged table, unchanged and duplicate ones included."""
+    totals = [
+        store.outcomes(table, version)
+        .agg(F.coalesce(F.sum(merge.ROWS), F.lit(0)).alias("row_count"))
+        .select(F.lit(table).alias("table_name"), "row_count")
+        for table in MERGED_TABLES
+    ]
+    rows = reduce(DataFrame.unionByName, totals).collect()
+    return {row["table_name"]: row["row_count"] for row in rows}
 
 
 def load_dimensions(store: TableStore, folder: str, version: str, **read_options) -> None:
@@ -143,13 +158,16 @@ def load_facts(store: TableStore, folder: str, version: str, **read_options) ->
     """Transfers and valuations, on the dimensions of the same version."""
     players, clubs = store.read("players", version), store.read("clubs", version)
     counts: dict[str, int] = {}
+    published = store.versions()
 
     raw = read_snapshot(store.spark, folder, "transfers.csv", **read_options)
     typed = resolve.transfer_rows(raw, ORDINAL)
     resolved = store.stage(
         "transfers", version, resolve.resolve_transfers(typed, players, clubs, ORDINAL)
     )
-    merged = merge_transfers(store.read_current("transfers"), resolve.accepted(resolved))
+    merged = merge_transfers(
+        store.read_current("transfers"), resolve.accepted(resolved), "transfers" not in published
+    )
     store.write("transfers", version, merged)
     _add_counts(counts, "transfers", resolve.outcome_counts(resolved))
 
@@ -158,7 +176,11 @@ def load_facts(store: TableStore, folder: str, version: str, **read_options) ->
     resolved = store.stage(
         "player_valuations", version, resolve.resolve_valuations(typed, players, ORDINAL)
     )
-    merged = merge_valuations(store.read_current("player_valuations"), resolve.accepted(resolved))
+    merged = merge_valuations(
+        store.read_current("player_valuations"),
+        resolve.accepted(resolved),
+        "player_valuations" not in published,
+    )
     store.write("player_valuations", version, merged)
     _add_counts(counts, "player_valuations", resolve.outcome_counts(resolved))
     return counts
@@ -214,7 +236,7 @@ def run_load(
     counts = load_facts(store, folder, version, **read_options)
     counts.update(rebuild_aggregates(store, version, version))
 
-    processed = {t: _processed(store, t, version) for t in ("players", "clubs", "transfers", "player_valuations")}
+    processed = _processed(store, version)
     records = sum(processed.values())
     store.publish(dict.fromkeys(schemas.TABLES, version), records, source_version, at)
 

@@ -105,17 +105,24 @@ class TableStore:
         """A version with its merge outcome columns."""
         return self.spark.read.parquet(self.path(table, version))
 
-    def check_unique(self, table: str, version: str) -> None:
-        key = schemas.UNIQUE_KEYS[table]
-        if not duplicate_keys(self.read(table, version), key).isEmpty():
-            raise DuplicateKeyError(f"{table} version {version} repeats a key of {key}")
+    def check_unique(self, versions: dict[str, str]) -> None:
+        """Raise if any of the table versions repeats a unique key; one query for all."""
+        checks = [
+            duplicate_keys(self.read(table, version), schemas.UNIQUE_KEYS[table])
+            .limit(1)
+            .select(F.lit(table).alias("table_name"))
+            for table, version in versions.items()
+        ]
+        repeated = [r["table_name"] for r in reduce(DataFrame.unionByName, checks).collect()]
+        if repeated:
+            keys = {t: schemas.UNIQUE_KEYS[t] for t in repeated}
+            raise DuplicateKeyError(f"repeated keys: {keys}")
 
     def publish(
         self, versions: dict[str, str], records: int, source_version: str | None, at: datetime
     ) -> None:
         """Check the new versions, then make them current in one step."""
-        for table, version in versions.items():
-            self.check_unique(table, version)
+        self.check_unique(versions)
         newest = self.latest().first()
         sequence = newest["sequence"] + 1 if newest else 1
         everything = {**(newest["versions"] if newest else {}), **versions}
