@@ -162,9 +162,8 @@ def load_facts(store: TableStore, folder: str, version: str, **read_options) ->
 
     raw = read_snapshot(store.spark, folder, "transfers.csv", **read_options)
     typed = resolve.transfer_rows(raw, ORDINAL)
-    resolved = store.stage(
-        "transfers", version, resolve.resolve_transfers(typed, players, clubs, ORDINAL)
-    )
+    resolved = resolve.resolve_transfers(typed, players, clubs, ORDINAL)
+    resolved = store.stage("transfers", version, _without_raw_ids(resolved))
     merged = merge_transfers(
         store.read_current("transfers"), resolve.accepted(resolved), "transfers" not in published
     )
@@ -173,9 +172,8 @@ def load_facts(store: TableStore, folder: str, version: str, **read_options) ->
 
     raw = read_snapshot(store.spark, folder, "player_valuations.csv", **read_options)
     typed = resolve.valuation_rows(raw, ORDINAL)
-    resolved = store.stage(
-        "player_valuations", version, resolve.resolve_valuations(typed, players, ORDINAL)
-    )
+    resolved = resolve.resolve_valuations(typed, players, ORDINAL)
+    resolved = store.stage("player_valuations", version, _without_raw_ids(resolved))
     merged = merge_valuations(
         store.read_current("player_valuations"),
         resolve.accepted(resolved),
@@ -186,6 +184,10 @@ def load_facts(store: TableStore, folder: str, version: str, **read_options) ->
     return counts
 
 
+def _without_raw_ids(resolved: DataFrame) -> DataFrame:
+    return resolved.drop(*[c for c in resolved.columns if c.startswith("raw_")])
+
+
 def _add_counts(counts: dict[str, int], table: str, outcomes: DataFrame) -> None:
     """A handful of outcome names per table, so collecting them is safe."""
     for row in outcomes.collect():
