@@ -8,6 +8,7 @@ copies of one key without a slow task.
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHANGE = "_change"
 ROWS = "_rows"
@@ -37,7 +38,7 @@ def _summarise_last(snapshot: DataFrame, key: list[str], values: list[str], ordi
 
 
 def _summarise_differing(
-    snapshot: DataFrame, key: list[str], values: list[str], ordinal: str, nullable: tuple[str, ...]
+    snapshot: DataFrame, key: list[str], values: list[str], ordinal: str
 ) -> DataFrame:
     """As above, plus the last value that differs from the last one.
 
@@ -56,22 +57,25 @@ def _summarise_differing(
         F.max(F.when(F.col("_rank") == 1, _pack(values))).alias("_last"),
         F.max(F.when(F.col("_rank") == 2, _pack(values))).alias("_previous"),
     )
-    return join_on_key(heads, tails, key, nullable, "inner")
+    return heads.join(tails, key)
 
 
-def join_on_key(
-    left: DataFrame, right: DataFrame, key: list[str], nullable: tuple[str, ...], how: str
-) -> DataFrame:
-    """Equi-join whose key columns come out once; null equals null in the nullable ones."""
-    l, r = left.alias("_l"), right.alias("_r")
-    condition = F.lit(True)
-    for k in key:
-        a, b = F.col(f"_l.{k}"), F.col(f"_r.{k}")
-        condition &= a.eqNullSafe(b) if k in nullable else a == b
-    keys = [F.coalesce(F.col(f"_l.{k}"), F.col(f"_r.{k}")).alias(k) for k in key]
-    rest = [F.col(f"_l.`{c}`") for c in left.columns if c not in key]
-    rest += [F.col(f"_r.`{c}`") for c in right.columns if c not in key]
-    return l.join(r, condition, how).select(*keys, *rest)
+def _null_flag(column: str) -> str:
+    return f"_null_{column}"
+
+
+def _without_null_keys(df: DataFrame, nullable: tuple[str, ...]) -> DataFrame:
+    """Replace nulls of nullable key columns by a flag and a fixed value.
+
+    Groupings and joins then share one plain equality key, and so one shuffle.
+    """
+    columns = {}
+    for name in nullable:
+        fixed = "1970-01-01" if isinstance(df.schema[name].dataType, T.DateType) else "0"
+        value = F.lit(fixed).cast(df.schema[name].dataType)
+        columns[name] = F.coalesce(name, value)
+        columns[_null_flag(name)] = F.col(name).isNull()
+    return df.withColumns(columns) if columns else df
 
 
 def merge_snapshot(
@@ -98,11 +102,13 @@ def merge_snapshot(
     """
     compared = [v for v in values if v not in keep]
     carried = [c for c in current.columns if c not in key + values]
+    full_key = key + [_null_flag(k) for k in nullable]
+    current, snapshot = (_without_null_keys(df, nullable) for df in (current, snapshot))
     if on_existing == "last":
-        summary = _summarise_last(snapshot, key, values, ordinal)
+        summary = _summarise_last(snapshot, full_key, values, ordinal)
         incoming = F.col("_last")
     elif on_existing == "last_differing":
-        summary = _summarise_differing(snapshot, key, values, ordinal, nullable)
+        summary = _summarise_differing(snapshot, full_key, values, ordinal)
         same_as_stored = F.lit(True)
         for v in compared:
             same_as_stored &= F.col(f"_last.{v}").eqNullSafe(F.col(f"_stored.{v}"))
@@ -112,8 +118,8 @@ def merge_snapshot(
     else:
         raise ValueError(f"unknown on_existing: {on_existing!r}")
 
-    stored = current.select(*key, _pack(values).alias("_stored"), *carried)
-    joined = join_on_key(stored, summary, key, nullable, "full_outer").withColumn("_incoming", incoming)
+    stored = current.select(*full_key, _pack(values).alias("_stored"), *carried)
+    joined = stored.join(summary, full_key, "full_outer").withColumn("_incoming", incoming)
 
     is_new, is_kept = F.col("_stored").isNull(), F.col("_first").isNull()
     unchanged = F.lit(True)
@@ -131,9 +137,12 @@ def merge_snapshot(
         later = old if v in keep else new
         return F.when(is_new, F.col(f"_first.{v}")).when(is_kept, old).otherwise(later).alias(v)
 
+    def key_part(k: str) -> Column:
+        return F.when(~F.col(_null_flag(k)), F.col(k)).alias(k) if k in nullable else F.col(k)
+
     return joined.select(
         *carried,
-        *key,
+        *[key_part(k) for k in key],
         *[value(v) for v in values],
         change.alias(CHANGE),
         F.coalesce(F.col(ROWS), F.lit(0)).alias(ROWS),
