@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from flowspark.checks import oracle, registry
 from tests.compare import compare, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = registry.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
