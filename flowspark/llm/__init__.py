@@ -1 +1,10 @@
-"""Operators for preparing training text. Nothing else in the library imports this."""
+"""Operators for preparing training text. Nothing else in the library imports this.
+
+Functions of this package travel to the executors by value, so they need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, mixing, simhash, substrings, url_filter
+from . import ann, chat, contamination, html_text, mixing, quality, simhash, substrings, toxicity, url_filter
 
 MODULES = {
     "op1_mix_sources": mixing,
     "op2_simhash_groups": simhash,
+    "op3_quality_classifier": quality,
+    "op4_chat_format": chat,
+    "op5_html_text": html_text,
     "op6_url_filter": url_filter,
     "op7_substring_dedup": substrings,
+    "op8_nearest_neighbours": ann,
     "op9_decontamination": contamination,
+    "op10_toxicity": toxicity,
 }
 
 
