@@ -5,36 +5,44 @@ Repeated spans of SPAN words or more are found without shuffling every window:
 1. In each SPAN-word window the K-mer with the smallest hash is chosen. Consecutive windows
    with the same choice form a cell; equal windows choose equal K-mers. A cell is a graph
    edge: its K-mer, a hash of all its words, and the place it comes from.
-2. Only cells whose K-mer occurs again go on. Equal cells are one edge with a count and a
-   first place. Where a cell is followed by one next cell in all its occurrences, and that
-   cell has no other occurrence, the path does not branch: such links are compacted to
-   paths by contraction joins. An occurrence of a path is one long repeated span; its
-   source coordinates (start less the offset within the path, and the number of cells) are
-   checked against the first occurrence, and spans that fail stay cut into cells.
-3. Cells that share a K-mer but differ in words are branching ends. Their first occurrences
-   are compared window by window, so that ends are exact to the word.
+2. Only cells whose K-mer occurs again go on. Equal cells are one edge, with its number of
+   places, the first of them, and a digest of all places and of all ends.
+3. A join links each edge to the edge that starts where it ends. Where both have the same
+   number of places and the ends of the one are the places of the other, the path doesn't
+   branch there; such links are compacted to paths along the document of their first place.
+   Every place of a path's first edge is one occurrence of the whole repeated span, and the
+   path's first place is its source.
+4. Cells that share a K-mer but differ in words are branching ends. Their first places are
+   compared window by window, so that ends are exact to the word.
 
 A word goes if a window over it has the same words as a window that starts earlier.
-Words are compared by two independent 64-bit hashes.
+Words are compared by two independent 64-bit hashes, taken from the words at each place.
+
+Two bitmaps of fixed size tell the scans which cells and places may matter, so that the rest
+isn't shuffled. They only spare work: on more data than they are made for they let more rows
+pass, and the joins behind them decide.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import encoded, keep, table
-from .components import connected_components
 
-SPAN, K = 20, 8
-#: Factors of the K positions of a K-mer, and of the three K-mers that cover a window.
+SPAN, K = 20, 6
+#: Bits of a bitmap, as a power of two (16 MB).
+FILTER_BITS = 27
+#: Odd factors for positions.
 _FACTORS = np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(16)], np.uint64)
 
 
@@ -61,18 +69,20 @@ class WordHashes(dict):
 
 def kmer_hashes(words: np.ndarray) -> np.ndarray:
     n = len(words) - K + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(K):
-        h += _mixed(words[j : j + n] + _FACTORS[15]) * _FACTORS[j]
+    h = words[:n] * _FACTORS[0]
+    for j in range(1, K):
+        h += words[j : j + n] * _FACTORS[j]
     return _mixed(h)
 
 
 def window_hashes(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each SPAN-word window, from the K-mers at its start, middle and end."""
+    """Two hashes of each SPAN-word window, from K-mers that cover it."""
     n = len(kmers) - (SPAN - K)
-    a, b, c = kmers[:n], kmers[K : K + n], kmers[SPAN - K : SPAN - K + n]
-    one = _mixed(a * _FACTORS[8] + b * _FACTORS[9] + c * _FACTORS[10])
-    return one, _mixed((a ^ _FACTORS[11]) * _FACTORS[12] + (b ^ _FACTORS[13]) * _FACTORS[14] + _mixed(c + _FACTORS[9]))
+    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for i, at in enumerate([*range(0, SPAN - K, K), SPAN - K]):
+        one += kmers[at : at + n] * _FACTORS[8 + i]
+        two += (kmers[at : at + n] ^ _FACTORS[12]) * _FACTORS[i]
+    return _mixed(one), _mixed(two)
 
 
 def cells_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,108 +103,121 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def document_cells(docs: DataFrame) -> DataFrame:
-    """(kmer, content, doc_id, start, n) for docs (doc_id, text)."""
-    columns = ["kmer", "content", "doc_id", "start", "n"]
+def _places(doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return _mixed(doc_id.astype(np.int64).view(np.uint64) * _FACTORS[3] + start.astype(np.uint64) * _FACTORS[4])
+
+
+def bitmap(rows: DataFrame, column: str) -> Broadcast:
+    """The hashes of a column as bits, for every task; at most 2 ** FILTER_BITS bits at any size."""
+    slot = F.shiftrightunsigned(column, 64 - FILTER_BITS + 6)
+    bit = F.shiftrightunsigned(column, 64 - FILTER_BITS).bitwiseAND(F.lit(63)).cast("int")
+    words = rows.select(slot.alias("slot"), F.expr("1L").alias("one"), bit.alias("bit"))
+    words = words.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[words["slot"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - FILTER_BITS)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _scan(docs: DataFrame, columns: str, rows_of: Callable, given: Broadcast | None = None) -> DataFrame:
+    """rows_of(doc_id, word hashes, bits) for every text of SPAN words or more, as arrays by column."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, bits = WordHashes(), given.value if given else None
         for batch in batches:
             parts, size = [], 0
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = encoded(text).split()
                 if len(words) >= SPAN:
-                    kmer, content, start, n = cells_of(hashes.of(words))
-                    parts.append((_signed(kmer), _signed(content), np.full(len(start), doc_id), start, n))
-                    size += len(start)
+                    parts.append(rows_of(doc_id, hashes.of(words), bits))
+                    size += len(parts[-1][0])
                 if size > 200_000:
-                    yield pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(columns)})
+                    yield pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(names)})
                     parts, size = [], 0
             if parts:
-                yield pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(columns)})
+                yield pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(names)})
 
-    return docs.where("doc_id is not null").mapInPandas(run, "kmer long, content long, doc_id long, start int, n int")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInPandas(run, columns)
 
 
-def repeated_cells(docs: DataFrame) -> DataFrame:
-    """The cells whose K-mer is chosen at two places or more."""
-    cells = document_cells(docs)
-    again = keep(cells.groupBy("kmer").count().where("count > 1").select("kmer"))
-    return keep(cells.join(again, "kmer", "left_semi"))
+def _kmers_only(doc_id: int, words: np.ndarray, bits: object) -> list[np.ndarray]:
+    return [_signed(cells_of(words)[0])]
 
 
-def _first() -> F.Column:
-    return F.min(F.struct("doc_id", "start", "n")).alias("first")
+def _whole_cells(doc_id: int, words: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    kmer, content, start, n = cells_of(words)
+    on = _in(bits, kmer)
+    return [_signed(kmer[on]), _signed(content[on]), np.full(int(on.sum()), doc_id), start[on], n[on]]
 
 
-def compacted_paths(cells: DataFrame) -> DataFrame:
-    """Repeated spans: (path, doc_id, start, n_windows, source_doc, source_start).
+def _chosen_windows(doc_id: int, words: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    _, _, start, n = cells_of(words)
+    on = _in(bits, _places(np.full(len(start), doc_id), start))
+    one, two = window_hashes(kmer_hashes(words))
+    at = np.repeat(start[on] - np.cumsum(n[on]) + n[on], n[on]) + np.arange(int(n[on].sum()))
+    return [_signed(one[at]), _signed(two[at]), np.full(len(at), doc_id), at]
 
-    One row for each occurrence of each nonbranching path of edges that occur twice or more.
-    """
-    edges = cells.groupBy("kmer", "content").agg(_first(), F.count("*").alias("times")).where("times > 1")
-    edges = keep(edges.withColumn("edge", F.xxhash64("kmer", "content", F.lit(7))))
-    placed = keep(cells.join(edges.select("kmer", "content", "edge", "times"), ["kmer", "content"]).select("edge", "times", "doc_id", "start", "n"))
-    nexts = placed.select(F.col("edge").alias("b"), F.col("times").alias("b_times"), "doc_id", F.col("start").alias("at"))
-    here = placed.select(F.col("edge").alias("a"), F.col("times").alias("a_times"), "doc_id", (F.col("start") + F.col("n")).alias("at"))
-    links = here.join(nexts, ["doc_id", "at"]).groupBy("a", "b", "a_times", "b_times").count()
-    straight = links.where("count = a_times AND count = b_times AND a <> b").select("a", "b")
-    roots = connected_components(straight).toDF("edge", "path")
-    named = edges.select("edge", "first").join(roots, "edge", "left").withColumn("path", F.coalesce("path", "edge"))
-    heads = named.groupBy("path").agg(
-        F.min(F.struct("first.doc_id", "first.start")).alias("head"), F.count("*").alias("cells"), F.sum("first.n").alias("n_windows")
-    )
-    named = keep(
-        named.join(heads, "path")
-        # A path whose edges have their first places in different documents isn't a chain; it stays cut.
-        .withColumn("offset", F.when(F.col("first.doc_id") == F.col("head.doc_id"), F.col("first.start") - F.col("head.start")))
-        .select("edge", "path", "cells", "n_windows", "offset", "first", "head")
-    )
-    spans = placed.join(named, "edge")
-    where = ["path", "doc_id", F.coalesce(F.col("start") - F.col("offset"), F.col("start")).alias("origin")]
-    grouped = spans.groupBy(*where).agg(
-        F.count("*").alias("found"), F.sum("n").alias("windows"), F.min("start").alias("start"),
-        F.first("cells").alias("cells"), F.first("head").alias("head"),
-        F.collect_list(F.struct("start", "n", "first")).alias("parts"),
-    )
-    whole = (F.col("found") == F.col("cells")) & (F.col("start") == F.col("origin"))
-    one = F.array(F.struct("start", F.col("windows").cast("int").alias("n"), F.struct(F.col("head.doc_id"), F.col("head.start"), F.lit(0).alias("n")).alias("first")))
-    kind = "array<struct<start:int,n:int,first:struct<doc_id:bigint,start:int,n:int>>>"
-    piece = grouped.select("path", "doc_id", F.explode(F.when(whole, one.cast(kind)).otherwise(F.col("parts").cast(kind))).alias("p"))
-    return piece.select(
-        "path", "doc_id", "p.start", F.col("p.n").alias("n_windows"),
-        F.col("p.first.doc_id").alias("source_doc"), F.col("p.first.start").alias("source_start"),
+
+def repeated_cells(docs: DataFrame) -> DataFrame:
+    """(kmer, content, doc_id, start, n): the cells whose K-mer is chosen at two places or more."""
+    kmers = _scan(docs, "kmer long", _kmers_only)
+    again = bitmap(kmers.groupBy("kmer").count().where("count > 1"), "kmer")
+    return keep(_scan(docs, "kmer long, content long, doc_id long, start int, n int", _whole_cells, again))
+
+
+def graph_edges(cells: DataFrame) -> DataFrame:
+    """(kmer, content, times, doc_id, start, n, starts, ends): equal cells once, with their first place."""
+    end = F.col("start") + F.col("n")
+    edges = cells.groupBy("kmer", "content").agg(
+        F.min(F.struct("doc_id", "start", "n")).alias("first"), F.count("*").alias("times"),
+        F.bit_xor(F.xxhash64("doc_id", "start")).alias("starts"), F.bit_xor(F.xxhash64("doc_id", end)).alias("ends"),
     )
+    return keep(edges.select("kmer", "content", "times", "first.*", "starts", "ends"))
 
 
-def branching_windows(cells: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, start, n_windows): windows in branching cells whose words start earlier elsewhere."""
-    edges = cells.groupBy("kmer", "content").agg(_first())
-    forks = edges.groupBy("kmer").count().where("count > 1").select("kmer")
-    ends = keep(edges.join(forks, "kmer", "left_semi").select("first.doc_id", "first.start", "first.n"))
-    wanted = ends.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cells"))
+def compacted_paths(edges: DataFrame) -> DataFrame:
+    """(kmer, content, n_windows, n_edges, source_doc, source_start): each nonbranching path of
+    edges that occur twice or more, under the K-mer and content of its first edge."""
+    again = edges.where("times > 1")
+    before = again.select("doc_id", (F.col("start") + F.col("n")).alias("start"), F.col("times").alias("_times"), F.col("ends").alias("_ends"))
+    linked = again.join(before.distinct(), ["doc_id", "start"], "left")
+    goes_on = F.coalesce((F.col("_times") == F.col("times")) & (F.col("_ends") == F.col("starts")), F.lit(False))
+    linked = linked.groupBy("kmer", "content", "doc_id", "start", "n").agg(F.max(goes_on).alias("goes_on"))
+    upto = Window.partitionBy("doc_id").orderBy("start", "kmer", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    linked = linked.withColumn("path", F.sum((~F.col("goes_on")).cast("int")).over(upto))
+    head = F.min(F.struct("start", "kmer", "content")).alias("head")
+    paths = linked.groupBy("doc_id", "path").agg(head, F.sum("n").alias("n_windows"), F.count("*").alias("n_edges"))
+    return keep(paths.select("head.kmer", "head.content", "n_windows", "n_edges", F.col("doc_id").alias("source_doc"), F.col("head.start").alias("source_start")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            for doc_id, text, chosen in zip(batch["doc_id"], batch["text"], batch["cells"], strict=True):
-                one, two = window_hashes(kmer_hashes(hashes.of(encoded(text).split())))
-                at = np.concatenate([np.arange(c["start"], c["start"] + c["n"]) for c in chosen])
-                yield pd.DataFrame({"one": _signed(one[at]), "two": _signed(two[at]), "doc_id": doc_id, "start": at.astype(np.int32)})
 
-    joined = docs.join(wanted, "doc_id").select("doc_id", "text", "cells")
-    windows = keep(joined.mapInPandas(run, "one long, two long, doc_id long, start int"))
+def path_spans(cells: DataFrame, paths: DataFrame) -> DataFrame:
+    """(doc_id, start, n_windows, source_doc, source_start): all occurrences of all paths."""
+    return cells.drop("n").join(paths, ["kmer", "content"]).select("doc_id", "start", "n_windows", "source_doc", "source_start")
+
+
+def branching_windows(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, start, n_windows): windows in branching cells whose words start earlier elsewhere."""
+    forks = edges.groupBy("kmer").count().where("count > 1").select("kmer")
+    place = F.pandas_udf(lambda d, s: pd.Series(_signed(_places(d.to_numpy(), s.to_numpy()))), "long")
+    ends = edges.join(forks, "kmer", "left_semi").select(place("doc_id", "start").alias("place"))
+    windows = keep(_scan(docs, "one long, two long, doc_id long, start int", _chosen_windows, bitmap(ends, "place")))
     first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1")
     later = windows.join(first.drop("times"), ["one", "two"]).where("first <> struct(doc_id, start)")
-    return later.select("doc_id", "start", F.lit(1).alias("n_windows"))
+    return later.select("doc_id", "start", F.lit(1).cast("long").alias("n_windows"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start, n_windows): every window whose words start earlier elsewhere lies in one of them."""
     cells = repeated_cells(docs)
-    paths = compacted_paths(cells)
-    later = paths.where("doc_id <> source_doc OR start <> source_start").select("doc_id", "start", "n_windows")
-    return later.unionByName(branching_windows(cells, docs))
+    edges = graph_edges(cells)
+    spans = path_spans(cells, compacted_paths(edges))
+    later = spans.where("doc_id <> source_doc OR start <> source_start").select("doc_id", "start", "n_windows")
+    return keep(later.unionByName(branching_windows(edges, docs)))
 
 
 def covered(n: int, spans: object) -> np.ndarray:
@@ -216,24 +239,35 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
     spans = repeated_spans(docs.select("doc_id", "text"))
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_windows")).alias("_spans"))
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    # Window runs of one row each are many; gathered by document they are arrays of numbers.
+    by_doc = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n_windows")).alias("_spans"))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield batch.assign(text=[squeeze(encoded(t)) if isinstance(t, str) else None for t in batch["text"]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            counts, gone, kept = [], [], []
-            for text, found in zip(batch["text"], batch["_spans"], strict=True):
-                words = encoded(text).split()
+            counts, gone, texts, kept = [], [], [], []
+            for packed, found in zip(batch["text"], batch["_spans"], strict=True):
+                raw = release(packed) if packed is not None else None
+                words = (raw or b"").split()
                 out = covered(len(words), found)
                 counts.append(len(words))
                 gone.append(int(out.sum()))
+                texts.append(None if raw is None else raw.decode("utf-8", "surrogatepass"))
                 if gone[-1]:
-                    text = b" ".join([w for w, o in zip(words, out.tolist(), strict=True) if not o]).decode("utf-8", "surrogatepass")
-                kept.append(text)
-            yield batch[names].assign(n_words=counts, n_removed=gone, kept_text=kept)
+                    raw = b" ".join([w for w, o in zip(words, out.tolist(), strict=True) if not o])
+                kept.append(None if raw is None else raw.decode("utf-8", "surrogatepass"))
+            yield batch[list(kinds)].assign(text=texts, n_words=counts, n_removed=gone, kept_text=kept)
 
-    return docs.join(by_doc, "doc_id", "left").mapInPandas(run, f"{kinds}, n_words long, n_removed long, kept_text string")
+    packed = docs.mapInPandas(pack, schema.replace("`text` string", "`text` binary"))
+    joined = packed.join(by_doc, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    return joined.mapInPandas(run, f"{schema}, n_words long, n_removed long, kept_text string")
 
 
 def _digest(texts: pd.Series) -> pd.Series:
