@@ -52,19 +52,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, remembered within a task up to a number of words."""
+#: Random values for bytes (blanks count nothing), and odd ones for places in a word.
+_BYTES = np.array([xxhash.xxh64_intdigest(b"byte%d" % i) for i in range(256)], np.uint64)
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTES[_BLANK] = 0
+_ODD = _mixed(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
 
-    LIMIT = 500_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text, without cutting the words out."""
+    data = np.frombuffer(raw, np.uint8)
+    turns = np.flatnonzero(np.diff(~_BLANK[data], prepend=False, append=False))
+    starts, ends = turns[::2], turns[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    value = _BYTES[data[starts[0] :]] * _ODD[place & 0xFFFF]
+    return _mixed(np.add.reduceat(value, starts - starts[0]) + (ends - starts).astype(np.uint64) * _FACTORS[15])
 
 
 def kmer_hashes(words: np.ndarray) -> np.ndarray:
@@ -75,28 +79,28 @@ def kmer_hashes(words: np.ndarray) -> np.ndarray:
     return _mixed(h)
 
 
-def window_hashes(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each SPAN-word window, from K-mers that cover it."""
-    n = len(kmers) - (SPAN - K)
-    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for i, at in enumerate([*range(0, SPAN - K, K), SPAN - K]):
-        one += kmers[at : at + n] * _FACTORS[8 + i]
-        two += (kmers[at : at + n] ^ _FACTORS[12]) * _FACTORS[i]
+def window_hashes(kmers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each SPAN-word window that starts at a place, from K-mers that cover it."""
+    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for i, off in enumerate([*range(0, SPAN - K, K), SPAN - K]):
+        part = kmers[at + off]
+        one += part * _FACTORS[8 + i]
+        two += (part ^ _FACTORS[12]) * _FACTORS[i]
     return _mixed(one), _mixed(two)
 
 
-def cells_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """K-mer, content, start and number of windows of each cell of a document."""
-    kmers = kmer_hashes(words)
-    picks = sliding_window_view(kmers, SPAN - K + 1).argmin(axis=1) + np.arange(len(words) - SPAN + 1)
+def cells_of(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the K-mer, start and number of windows of each cell of a document."""
+    windows = sliding_window_view(kmers, SPAN - K + 1)
+    picks = windows.argmin(axis=1) + np.arange(len(windows))
     start = np.flatnonzero(np.diff(picks, prepend=-1))
-    n = np.diff(start, append=len(picks))
-    one, two = window_hashes(kmers)
-    pick, last = picks[start], start + n - 1
-    # The first and last window overlap, as a cell has at most SPAN - K + 1 of them: all its words count.
+    return picks[start], start, np.diff(start, append=len(picks))
+
+
+def cell_contents(kmers: np.ndarray, pick: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of all words of each cell: its first and last window overlap or touch, so they cover it."""
     shape = (n * 64 + (pick - start)).astype(np.uint64)
-    content = _mixed(_mixed(one[start] + shape) * _FACTORS[1] + two[last])
-    return kmers[pick], content, start, n
+    return _mixed(_mixed(window_hashes(kmers, start)[0] + shape) * _FACTORS[1] + window_hashes(kmers, start + n - 1)[1])
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -108,14 +112,29 @@ def _places(doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def bitmap(rows: DataFrame, column: str) -> Broadcast:
-    """The hashes of a column as bits, for every task; at most 2 ** FILTER_BITS bits at any size."""
-    slot = F.shiftrightunsigned(column, 64 - FILTER_BITS + 6)
-    bit = F.shiftrightunsigned(column, 64 - FILTER_BITS).bitwiseAND(F.lit(63)).cast("int")
-    words = rows.select(slot.alias("slot"), F.expr("1L").alias("one"), bit.alias("bit"))
-    words = words.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[words["slot"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return rows.sparkSession.sparkContext.broadcast(bits)
+    """The hashes of a column as bits, for every task; 2 ** FILTER_BITS bits at any size.
+
+    Tasks set the bits of one block each; the driver joins the blocks, which have a fixed size.
+    """
+    block_bits = 19
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            of = (at >> np.uint64(block_bits)).astype(np.int64)
+            for block in np.unique(of).tolist():
+                flags = blocks.setdefault(block, np.zeros(1 << block_bits, bool))
+                flags[(at[of == block] & np.uint64((1 << block_bits) - 1)).astype(np.int64)] = True
+        for block, flags in blocks.items():
+            yield pd.DataFrame({"block": [block], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    block = F.shiftrightunsigned(column, 64 - FILTER_BITS + block_bits)
+    dealt = rows.select(F.col(column).alias("h")).repartition(block)
+    bits = np.zeros((1 << (FILTER_BITS - block_bits), 1 << (block_bits - 3)), np.uint8)
+    for row in dealt.mapInPandas(fill, "block long, bits binary").toLocalIterator():
+        bits[row["block"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64).ravel())
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -124,17 +143,17 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, columns: str, rows_of: Callable, given: Broadcast | None = None) -> DataFrame:
-    """rows_of(doc_id, word hashes, bits) for every text of SPAN words or more, as arrays by column."""
+    """rows_of(doc_id, K-mer hashes, bits) for every text of SPAN words or more, as arrays by column."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, bits = WordHashes(), given.value if given else None
+        bits = given.value if given else None
         for batch in batches:
             parts, size = [], 0
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = encoded(text).split()
+                words = word_hashes(encoded(text))
                 if len(words) >= SPAN:
-                    parts.append(rows_of(doc_id, hashes.of(words), bits))
+                    parts.append(rows_of(doc_id, kmer_hashes(words), bits))
                     size += len(parts[-1][0])
                 if size > 200_000:
                     yield pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(names)})
@@ -145,22 +164,24 @@ def _scan(docs: DataFrame, columns: str, rows_of: Callable, given: Broadcast | N
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInPandas(run, columns)
 
 
-def _kmers_only(doc_id: int, words: np.ndarray, bits: object) -> list[np.ndarray]:
-    return [_signed(cells_of(words)[0])]
+def _kmers_only(doc_id: int, kmers: np.ndarray, bits: object) -> list[np.ndarray]:
+    return [_signed(kmers[cells_of(kmers)[0]])]
 
 
-def _whole_cells(doc_id: int, words: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
-    kmer, content, start, n = cells_of(words)
-    on = _in(bits, kmer)
-    return [_signed(kmer[on]), _signed(content[on]), np.full(int(on.sum()), doc_id), start[on], n[on]]
+def _whole_cells(doc_id: int, kmers: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    pick, start, n = cells_of(kmers)
+    on = _in(bits, kmers[pick])
+    pick, start, n = pick[on], start[on], n[on]
+    return [_signed(kmers[pick]), _signed(cell_contents(kmers, pick, start, n)), np.full(len(n), doc_id), start, n]
 
 
-def _chosen_windows(doc_id: int, words: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
-    _, _, start, n = cells_of(words)
+def _chosen_windows(doc_id: int, kmers: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    _, start, n = cells_of(kmers)
     on = _in(bits, _places(np.full(len(start), doc_id), start))
-    one, two = window_hashes(kmer_hashes(words))
-    at = np.repeat(start[on] - np.cumsum(n[on]) + n[on], n[on]) + np.arange(int(n[on].sum()))
-    return [_signed(one[at]), _signed(two[at]), np.full(len(at), doc_id), at]
+    start, n = start[on], n[on]
+    at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    one, two = window_hashes(kmers, at)
+    return [_signed(one), _signed(two), np.full(len(at), doc_id), at]
 
 
 def repeated_cells(docs: DataFrame) -> DataFrame:
