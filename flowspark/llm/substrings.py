@@ -241,27 +241,30 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return keep(later.unionByName(branching_windows(edges, docs)))
 
 
-def covered(n: int, spans: object) -> np.ndarray:
-    """Which of n words lie under a window of the spans (rows with start and n_windows)."""
+def covered(n: int, spans: np.ndarray | None) -> np.ndarray:
+    """Which of n words lie under a window of the spans, each start * 2**32 + number of windows."""
     step = np.zeros(n + 1, np.int64)
-    for s in spans if spans is not None else ():
-        step[s["start"]] += 1
-        step[s["start"] + s["n_windows"] + SPAN - 1] -= 1
+    if spans is not None:
+        start = spans >> 32
+        np.add.at(step, start, 1)
+        np.add.at(step, start + (spans & 0xFFFFFFFF) + SPAN - 1, -1)
     return np.cumsum(step[:n]) > 0
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) plus n_words, n_removed, kept_text.
+    """docs (doc_id, text, ...) with the kept text, plus n_words, n_removed, kept_sha256.
 
-    kept_text is the text itself where nothing is removed, else the kept words joined by
-    single spaces. Null and empty texts have no words and stay as they are. Documents
-    without an id are left whole, and rows that share an id count as one document. Texts
-    below SPAN words never lose a word. Columns of these three names are replaced.
+    The text stays as it is where nothing is removed; else it is the kept words joined by
+    single spaces. n_words counts the words before, kept_sha256 is the digest of the kept
+    words joined by single spaces. Null and empty texts have no words and stay as they are.
+    Documents without an id are left whole, and rows that share an id count as one document.
+    Texts below SPAN words never lose a word. Columns of the three names are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_text")
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
     spans = repeated_spans(docs.select("doc_id", "text"))
-    # Window runs of one row each are many; gathered by document they are arrays of numbers.
-    by_doc = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n_windows")).alias("_spans"))
+    # Gathered by document, spans are an array of numbers no longer than the document.
+    span = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n_windows"))
+    by_doc = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(span).alias("_spans"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
 
@@ -273,29 +276,25 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            counts, gone, texts, kept = [], [], [], []
-            for packed, found in zip(batch["text"], batch["_spans"], strict=True):
-                raw = release(packed) if packed is not None else None
-                words = (raw or b"").split()
-                out = covered(len(words), found)
-                counts.append(len(words))
-                gone.append(int(out.sum()))
-                texts.append(None if raw is None else raw.decode("utf-8", "surrogatepass"))
-                if gone[-1]:
-                    raw = b" ".join([w for w, o in zip(words, out.tolist(), strict=True) if not o])
-                kept.append(None if raw is None else raw.decode("utf-8", "surrogatepass"))
-            yield batch[list(kinds)].assign(text=texts, n_words=counts, n_removed=gone, kept_text=kept)
+            for at in range(0, len(batch), 500):
+                rows = batch.iloc[at : at + 500]
+                counts, gone, texts, digests = [], [], [], []
+                for packed, found in zip(rows["text"], rows["_spans"], strict=True):
+                    raw = release(packed) if packed is not None else None
+                    words = (raw or b"").split()
+                    out = covered(len(words), found)
+                    counts.append(len(words))
+                    gone.append(int(out.sum()))
+                    kept = b" ".join([w for w, o in zip(words, out.tolist(), strict=True) if not o] if gone[-1] else words)
+                    digests.append(hashlib.sha256(kept).hexdigest())
+                    texts.append(None if raw is None else (kept if gone[-1] else raw).decode("utf-8", "surrogatepass"))
+                yield rows[list(kinds)].assign(text=texts, n_words=counts, n_removed=gone, kept_sha256=digests)
 
     packed = docs.mapInPandas(pack, schema.replace("`text` string", "`text` binary"))
     joined = packed.join(by_doc, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    return joined.mapInPandas(run, f"{schema}, n_words long, n_removed long, kept_text string")
-
-
-def _digest(texts: pd.Series) -> pd.Series:
-    return pd.Series([hashlib.sha256(b" ".join(encoded(t).split())).hexdigest() for t in texts], dtype=object)
+    return joined.mapInPandas(run, f"{schema}, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = F.pandas_udf(_digest, "string")
     done = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_words", "n_removed", digest("kept_text").alias("kept_sha256"))
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
