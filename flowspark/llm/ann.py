@@ -30,7 +30,10 @@ K = 20
 #: Vectors that train the index at most; every vector is indexed.
 SAMPLE = 20_000
 #: Vectors of a list on average, and bounds of lists and of the part of them a query scans.
-PER_LIST, MOST_LISTS, PROBED, LEAST_PROBED = 512, 65_536, 0.25, 24
+#: The share suits vectors without structure, whose neighbours lie in many lists.
+PER_LIST, MOST_LISTS, PROBED, LEAST_PROBED = 512, 65_536, 0.7, 24
+#: Pairs that a step of a scan holds.
+STEP = 1 << 20
 BLOCK, SIGMAS = 16, 2.6
 CELL, QUERY_CELL = 8192, 1024
 
@@ -90,26 +93,36 @@ class Index:
         return np.column_stack([q, np.zeros(len(q))]) @ self.rotation
 
 
-def scan(query: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """Numbers of the rows that may be among the query's k nearest of them.
+def scan(query: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) of numbers that hold each query's k nearest rows, with few others.
 
-    The first k rows are measured in full; the k-th distance so far is what the test of
-    each block compares with, scaled by 1 + SIGMAS / sqrt(columns seen).
+    The k rows that look nearest after the first block are measured in full; the farthest of
+    them is what the test of each block compares with, scaled by 1 + SIGMAS / sqrt(columns seen).
     """
-    n, dims = rows.shape
-    if n <= k:
-        return np.arange(n)
-    alive, part, worst = np.arange(n), np.zeros(n), np.inf
-    for at in range(0, dims, BLOCK):
+    dims = rows.shape[1]
+    if len(rows) <= k:
+        return np.repeat(np.arange(len(query)), len(rows)), np.tile(np.arange(len(rows)), len(query))
+    first, head = query[:, :BLOCK], rows[:, :BLOCK]
+    part = (first**2).sum(axis=1)[:, None] + (head**2).sum(axis=1) - 2 * first @ head.T
+    lead = np.argpartition(part, k - 1, axis=1)[:, :k]
+    worst = ((rows[lead] - query[:, None, :]) ** 2).sum(axis=2).max(axis=1)
+    q, x = np.nonzero(part * (dims / min(BLOCK, dims)) <= worst[:, None] * (1 + SIGMAS / np.sqrt(BLOCK)) ** 2)
+    part = part[q, x]
+    for at in range(BLOCK, dims, BLOCK):
         stop = min(at + BLOCK, dims)
-        part = part + ((rows[alive, at:stop] - query[at:stop]) ** 2).sum(axis=1)
-        if stop < dims:
-            if at == 0:  # the most promising so far, in full, give a first bound
-                lead = alive[np.argpartition(part, k - 1)[:k]]
-                worst = ((rows[lead] - query) ** 2).sum(axis=1).max()
-            inside = part * (dims / stop) <= worst * (1 + SIGMAS / np.sqrt(stop)) ** 2
-            alive, part = alive[inside], part[inside]
-    return alive[part <= np.partition(part, k - 1)[k - 1] * (1 + 1e-9)] if len(alive) > k else alive
+        part = part + ((rows[x, at:stop] - query[q, at:stop]) ** 2).sum(axis=1)
+        bound = worst[q] * ((1 + SIGMAS / np.sqrt(stop)) ** 2 if stop < dims else 1 + 1e-9)
+        inside = part * (dims / stop) <= bound
+        q, x, part = q[inside], x[inside], part[inside]
+    return q, x
+
+
+def _best(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the k best entries of each group, by score and then id."""
+    order = np.lexsort((ids, -score, group))
+    start = np.flatnonzero(np.diff(group[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
+    return order[rank < k]
 
 
 def nearest_neighbours(vectors: DataFrame, queries: F.Column, *, k: int = K) -> DataFrame:
@@ -133,7 +146,7 @@ def nearest_neighbours(vectors: DataFrame, queries: F.Column, *, k: int = K) ->
     index = Index.fit(np.array(sample["embedding"].tolist(), np.float64), stat["longest"], n_lists)
     given = spark.sparkContext.broadcast((index.longest, index.rotation, index.centers))
     n_lists = len(index.centers)
-    probes = min(n_lists, max(LEAST_PROBED, int(n_lists * PROBED) if n_lists < 1024 else 256))
+    probes = min(n_lists, max(LEAST_PROBED, int(n_lists * PROBED)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(*given.value)
@@ -185,14 +198,18 @@ def nearest_neighbours(vectors: DataFrame, queries: F.Column, *, k: int = K) ->
         x = np.array(found["embedding"].tolist(), np.float64)
         q = np.array(ask["query"].tolist(), np.float64)
         turned, moved, ids = index.extended(x), index.query(q), found["ids"].tolist()
-        parts = []
-        for i, name in enumerate(ask["query_id"]):
-            near = scan(moved[i], turned, k + 1)
-            score = x[near] @ q[i]
-            pairs = [(name, v, s) for j, s in zip(near.tolist(), score.tolist(), strict=True) for v in ids[j]]
-            pairs.sort(key=lambda p: (-p[2], p[1]))
-            parts += pairs[: k + 1]
-        return pd.DataFrame(parts, columns=list(kinds)).astype(kinds)
+        held = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, first = np.concatenate(ids), np.cumsum(held) - held
+        parts, step = [], max(1, STEP // len(x))
+        for at in range(0, len(q), step):
+            a, b = scan(moved[at : at + step], turned, k + 1)
+            score = np.einsum("ij,ij->i", x[b], q[a + at])
+            n = held[b]
+            a, score = np.repeat(a, n), np.repeat(score, n)
+            vec = flat[np.repeat(first[b] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            top = _best(a, score, vec, k + 1)
+            parts.append(pd.DataFrame({"query_id": ask["query_id"].to_numpy()[a[top] + at], "vec_id": vec[top], "score": score[top]}))
+        return pd.concat(parts, ignore_index=True)
 
     key = ["list", "cell", "lot"]
     pairs = placed.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
