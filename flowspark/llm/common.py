@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,23 @@ def word_count(text: Column) -> Column:
 def encoded(text: object) -> bytes:
     """UTF-8 of a text inside a task; anything that is no string (null, NaN) is empty."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+
+
+def with_text_score(docs: DataFrame, make: Callable[[], Callable[[list[object]], list[float]]], rows: int = 250) -> DataFrame:
+    """docs (text, ...) plus score double. make() gives a task its function from texts to scores.
+
+    Texts become Python objects a few rows at a time; other columns pass through as Arrow data.
+    """
+    docs = docs.drop("score")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = make()
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                scores = pa.array(score(part.column(at).to_pylist()), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*batch.schema.names, "score"])
+
+    return docs.mapInArrow(run, f"{kinds}, score double")

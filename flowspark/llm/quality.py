@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded, table
+from .common import encoded, table, with_text_score
 from .labelled import in_fold, labelled_sample
 
 BUCKET_BITS, DIM, GRAMS = 17, 10, (3, 4)
@@ -118,7 +118,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 class Scorer:
     """Scores texts; the summed vectors of words met before are remembered, up to a number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __init__(self, vectors: np.ndarray, softmax: np.ndarray):
         self.vectors, self.softmax = vectors, softmax.astype(np.float64)
@@ -181,18 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column) -> tupl
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """docs (text, ...) plus score: the probability of label 1. Null text is scored as empty."""
     given = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(*given.value)
-        for batch in batches:
-            texts, scores = batch["text"].tolist(), []
-            for at in range(0, len(texts), 200):
-                scores += scorer.score(texts[at : at + 200])
-            yield batch.assign(score=np.array(scores, np.float64))
-
-    return docs.mapInPandas(run, f"{kinds}, score double")
+    return with_text_score(docs, lambda: Scorer(*given.value).score)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, label: str = "quality", parts: int = 4, fold: int = 2) -> DataFrame:

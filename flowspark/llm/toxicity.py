@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded, table
+from .common import encoded, table, with_text_score
 from .labelled import in_fold, labelled_sample
 
 LEVEL = 19
@@ -43,7 +43,7 @@ TOXIC = 0.5
 class Distance:
     """Bytes that the toxic dictionary saves on a window; known words are remembered up to a number."""
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __init__(self, toxic: bytes, ordinary: bytes, common: bytes):
         self.toxic, self.ordinary = self._compressor(common + toxic), self._compressor(common + ordinary)
@@ -190,16 +190,13 @@ def score_documents(docs: DataFrame, model: dict[str, object] | None) -> DataFra
     if model is None:
         return docs.withColumn("score", F.lit(0.5))
     given = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scorer() -> Callable[[list[object]], list[float]]:
         m = given.value
         distance, line = Distance(m["toxic"], m["ordinary"], m["common"]), np.array(m["line"])
-        for batch in batches:
-            z = np.array([distance.features(t) @ line[:-1] + line[-1] for t in batch["text"]], np.float64)
-            yield batch.assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return lambda texts: [1 / (1 + math.exp(-np.clip(distance.features(t) @ line[:-1] + line[-1], -30, 30))) for t in texts]
 
-    return docs.mapInPandas(run, f"{kinds}, score double")
+    return with_text_score(docs, scorer)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", parts: int = 5, fold: int = 0) -> DataFrame:
