@@ -29,9 +29,11 @@ from .common import keep, table
 K = 20
 #: Vectors that train the index at most; every vector is indexed.
 SAMPLE = 20_000
-#: Vectors of a list on average, and bounds of lists and of the part of them a query scans.
+#: Bounds of lists, whose number is a fifth of the root of the vectors', and the part of them a query scans.
 #: The share suits vectors without structure, whose neighbours lie in many lists.
-PER_LIST, MOST_LISTS, PROBED, LEAST_PROBED = 512, 65_536, 0.7, 24
+MOST_LISTS, PROBED, LEAST_PROBED = 65_536, 0.7, 24
+#: A share of candidates few enough to be measured one by one.
+FEW = 0.03
 #: Pairs that a step of a scan holds.
 STEP = 1 << 20
 BLOCK, SIGMAS = 16, 2.6
@@ -106,10 +108,20 @@ def scan(query: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     part = (first**2).sum(axis=1)[:, None] + (head**2).sum(axis=1) - 2 * first @ head.T
     lead = np.argpartition(part, k - 1, axis=1)[:, :k]
     worst = ((rows[lead] - query[:, None, :]) ** 2).sum(axis=2).max(axis=1)
-    q, x = np.nonzero(part * (dims / min(BLOCK, dims)) <= worst[:, None] * (1 + SIGMAS / np.sqrt(BLOCK)) ** 2)
+    # While many candidates are left, a block is measured for all at once; then for the rest only.
+    stop, alive = min(BLOCK, dims), None
+    while True:
+        bound = worst * ((1 + SIGMAS / np.sqrt(stop)) ** 2 if stop < dims else 1 + 1e-9)
+        alive = part * (dims / stop) <= bound[:, None]
+        if stop == dims or np.count_nonzero(alive) <= FEW * alive.size:
+            break
+        a, b = query[:, stop : stop + BLOCK], rows[:, stop : stop + BLOCK]
+        part += (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T
+        stop = min(stop + BLOCK, dims)
+    q, x = np.nonzero(alive)
     part = part[q, x]
-    for at in range(BLOCK, dims, BLOCK):
-        stop = min(at + BLOCK, dims)
+    while stop < dims:
+        at, stop = stop, min(stop + BLOCK, dims)
         part = part + ((rows[x, at:stop] - query[q, at:stop]) ** 2).sum(axis=1)
         bound = worst[q] * ((1 + SIGMAS / np.sqrt(stop)) ** 2 if stop < dims else 1 + 1e-9)
         inside = part * (dims / stop) <= bound
@@ -142,7 +154,7 @@ def nearest_neighbours(vectors: DataFrame, queries: F.Column, *, k: int = K) ->
     if not stat["n"]:
         return spark.createDataFrame([], out)
     sample = classes.orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding").toPandas()
-    n_lists = int(min(MOST_LISTS, max(1, stat["n"] // PER_LIST), max(1, len(sample) // 16)))
+    n_lists = int(min(MOST_LISTS, max(1, round(stat["n"] ** 0.5 / 5)), max(1, len(sample) // 16)))
     index = Index.fit(np.array(sample["embedding"].tolist(), np.float64), stat["longest"], n_lists)
     given = spark.sparkContext.broadcast((index.longest, index.rotation, index.centers))
     n_lists = len(index.centers)
