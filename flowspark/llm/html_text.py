@@ -171,7 +171,7 @@ def _signature(text: str) -> int:
 def host_wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper): the skeleton of the page whose length is nearest to ORDINARY."""
     own = F.xxhash64("html").alias("own")
-    sized = pages.where("html is not null").select("host", F.abs(F.length("html") - ORDINARY).alias("off"), own)
+    sized = pages.where("html <> ''").select("host", F.abs(F.length("html") - ORDINARY).alias("off"), own)
     picked = sized.groupBy("host").agg(F.min(F.struct("off", "own"))["own"].alias("own"))
     found = pages.withColumn("own", F.xxhash64("html")).join(picked, ["host", "own"]).groupBy("host").agg(F.min("html").alias("html"))
 
@@ -197,12 +197,12 @@ def template_texts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
         if counts:
             yield _counted(counts)
 
-    seen = pages.where("html is not null").join(wrappers, "host").select("host", "html", "wrapper")
+    seen = pages.where("html <> ''").join(wrappers, "host").select("host", "html", "wrapper")
     texts = seen.mapInPandas(run, "host string, slot int, text long, n long")
     texts = texts.groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
     # For each slot its most frequent text and how many there are; for each host its pages.
     slots = texts.groupBy("host", "slot").agg(F.max(F.struct("n", "text")).alias("top"), F.count("*").alias("kinds"))
-    sizes = pages.where("html is not null").groupBy("host").agg(F.count("*").alias("pages"))
+    sizes = pages.where("html <> ''").groupBy("host").agg(F.count("*").alias("pages"))
     variety = slots.groupBy("host").agg(F.max("kinds").alias("variety"))
     constant = slots.join(sizes, "host").join(variety, "host")
     constant = constant.where((F.col("top.n") >= SHARE * F.col("pages")) & (F.col("variety") >= LEAST_PAGES))
