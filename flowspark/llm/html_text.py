@@ -86,22 +86,27 @@ def _roots(tree: Node) -> list[tuple[Node, bool]]:
 
 
 def main_text(tree: Node, template: set[int]) -> str:
-    """Blocks of the content; template holds the identities of template text nodes."""
+    """Blocks of the content; template holds the identities of template text nodes.
+
+    A block goes when all its text is template; fixed words within a varying block stay.
+    """
     blocks: list[str] = []
     run: list[str] = []
+    varying: list[bool] = []
 
     def end() -> None:
-        if text := clean("".join(run)):
+        if any(varying) and (text := clean("".join(run))):
             blocks.append(text)
         run.clear()
+        varying.clear()
 
     for root, inside in _roots(tree):
         todo: list[tuple[Node, bool]] = [(root, False)]
         while todo:
             node, done = todo.pop()
             if node.tag == "#text":
-                if id(node) not in template:
-                    run.append(node.text)
+                run.append(node.text)
+                varying.append(id(node) not in template)
             elif node.tag in ("#blank", "br", "wbr"):
                 run.append("" if node.tag == "wbr" else " ")
             elif done:
