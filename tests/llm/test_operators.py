@@ -180,7 +180,7 @@ def test_html_template_and_boilerplate(spark):
     rows = [(i, "http://h.org/", page.format(i=i)) for i in range(8)] + [(50, None, None), (51, "http://h.org/x", ""), (52, "http://k.org", "<article>a<!-- x --><aside>no</aside> b</article><p>c")]
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Head 3 & more\n\none two three 3\n\nNext para 3"
-    assert got[50] == got[51] == "" and got[52] == "a b"
+    assert got[50] == got[51] == "" and got[52] == "a\n\nb"  # a block ends where an aside stands
 
 
 def test_nearest_neighbours_recall_and_ties(spark):
