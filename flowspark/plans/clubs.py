@@ -191,19 +191,14 @@ def network_page(
     return rows.orderBy(*ties).offset((page - 1) * page_size).limit(page_size)
 
 
-def nested_edges(
-    edges: DataFrame, transfers: DataFrame, rows_per_list: int = 1000
-) -> DataFrame:
-    """Expanded edges with their transfers as nested lists.
+def nested_edges(edges: DataFrame, transfers: DataFrame) -> DataFrame:
+    """Expanded edges with each of their transfers: one row a transfer, the edge beside it.
 
-    One club pair may hold any number of transfers, so each edge comes in as many
-    lists of about `rows_per_list` transfers as it needs; most have one. Transfers are
-    dealt to the lists by a hash of their id, and no transfer is left out.
+    One club pair may hold any number of transfers, so they stay rows and are never
+    gathered into a list; rows have this shape at any size. The totals are those of the
+    edge and repeat on its rows. A writer that wants nested lists can group the rows of
+    the edges it shows, a page at a time.
     """
-    lists = F.ceil(F.col("transfer_count") / F.lit(rows_per_list)).cast("int")
-    dealt = transfers.join(edges, "club_id").withColumn(
-        "list_no", F.pmod(F.xxhash64("transfer_id", "direction"), lists).cast("int")
-    )
     item = F.struct(
         "transfer_id",
         "direction",
@@ -214,8 +209,8 @@ def nested_edges(
         "position_group",
         "transfer_window",
     )
-    return dealt.groupBy("club_id", "club_name", *EDGE_MEASURES, "list_no").agg(
-        F.sort_array(F.collect_list(item)).alias("transfers")
+    return transfers.select("club_id", item.alias("transfer")).join(edges, "club_id").select(
+        "club_id", "club_name", *EDGE_MEASURES, "transfer"
     )
 
 
