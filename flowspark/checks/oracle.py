@@ -80,6 +80,9 @@ _VIEWS = {
                CASE WHEN l_quantity = 23 THEN 'nan' ELSE CAST(from_club_id AS VARCHAR) END AS from_club_id,
                CASE WHEN l_quantity = 29 THEN '999999999999' ELSE CAST(to_club_id AS VARCHAR) END AS to_club_id,
                CASE WHEN l_tax = 0 THEN '' WHEN l_tax = 0.08 THEN 'soon'
+                    WHEN l_tax = 0.07 THEN strftime(CAST(l_shipdate AS DATE), '%b %-d, %Y')
+                    WHEN l_tax = 0.06 THEN strftime(CAST(l_shipdate AS DATE), '%m/%d/%Y')
+                    WHEN l_tax = 0.05 THEN strftime(CAST(l_shipdate AS DATE), '%Y/%m/%d')
                     ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS transfer_date,
                CASE WHEN l_discount = 0.1 AND l_linenumber = 1 THEN 'NA'
                     WHEN l_linenumber = 2 THEN start_year || '/' || (start_year + 1)
@@ -93,7 +96,7 @@ _VIEWS = {
                     WHEN 5 THEN ' €' || quantity || ' Th. '
                     WHEN 6 THEN quantity || ',500,000'
                     ELSE quantity || ',25 mil.' END AS transfer_fee,
-               start_year, l_tax, l_shipdate
+               start_year, l_tax, l_shipdate, l_quantity = 31 AS malformed
         FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
                      CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity FROM moves)""",
     "raw_seasons": """
@@ -109,7 +112,8 @@ _VIEWS = {
                             THEN 2000 + TRY_CAST(last_text AS INTEGER)
                        WHEN length(last_text) = 2 THEN 1900 + TRY_CAST(last_text AS INTEGER)
                        ELSE TRY_CAST(last_text AS INTEGER) END AS season_last,
-               TRY_CAST(transfer_date AS DATE) AS day
+               coalesce(TRY_CAST(transfer_date AS DATE),
+                        CAST(try_strptime(transfer_date, ['%m/%d/%Y', '%Y/%m/%d', '%b %-d, %Y']) AS DATE)) AS day
         FROM raw_seasons""",
     "typed": """
         SELECT *, CASE WHEN day IS NULL THEN 'Summer ' || season_first
@@ -134,12 +138,14 @@ _VIEWS = {
                     FROM (SELECT *, lower(trim(transfer_fee)) AS low FROM typed)))""",
     "judged": """
         SELECT r.*, p.id AS player, fc.id AS from_club, tc.id AS to_club,
-               CASE WHEN fee_excluded THEN 'excluded_fee'
+               CASE WHEN malformed THEN 'malformed_row'
+                    WHEN fee_excluded THEN 'excluded_fee'
                     WHEN r.player_id = '' THEN 'missing_player'
                     WHEN r.from_club_id = 'nan' THEN 'missing_club'
                     WHEN r.transfer_window IS NULL OR r.season IS NULL THEN 'no_window_or_season'
                     WHEN p.id IS NULL THEN 'unknown_player'
                     WHEN fc.id IS NULL OR tc.id IS NULL THEN 'unknown_club'
+                    WHEN r.transfer_date = 'soon' THEN 'accepted_unread_date'
                     ELSE 'accepted' END AS outcome
         FROM priced r
              LEFT JOIN players p ON p.id = CAST(TRY_CAST(r.player_id AS DOUBLE) AS BIGINT)
@@ -271,6 +277,47 @@ _GRAPH = {
         FROM edges""",
 }
 
+# Codes are given to one name after the other. Names that differ in their first two
+# letters cannot meet, so each such group takes its own turns, with a list of the codes
+# it has given so far.
+_COUNTRY_CODES = {
+    "club_names": """
+        SELECT CASE WHEN c_acctbal < 0 AND c_mktsegment = 'BUILDING' THEN 'France'
+                    WHEN c_mktsegment = 'MACHINERY' OR n_regionkey = 3 THEN 'Other' ELSE n_name END AS name,
+               c_custkey AS ord
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "wanted": """
+        SELECT CASE p_size WHEN 1 THEN 'South Korea' WHEN 2 THEN 'Other' WHEN 3 THEN 'France'
+                    ELSE CASE WHEN p_size < 20 THEN p_name
+                              WHEN p_size < 30 THEN left(p_name, 6) || ' ' || p_partkey
+                              ELSE left(p_name, 2) || p_partkey END END AS name,
+               0 AS step, p_partkey AS ord
+        FROM part WHERE p_size <> 4
+        UNION ALL
+        SELECT name, 1, ord FROM club_names""",
+    "placed": """
+        SELECT name, row_number() OVER (ORDER BY min((step, ord))) AS place,
+               CASE name WHEN 'South Korea' THEN 'KOR' WHEN 'Other' THEN 'OTH' WHEN 'France' THEN 'FRA'
+                         ELSE upper(left(name, 3)) END AS base
+        FROM wanted WHERE name NOT IN (SELECT name FROM countries) GROUP BY name""",
+    "queue": """
+        SELECT *, left(base, 2) AS letters, row_number() OVER (PARTITION BY left(base, 2) ORDER BY place) AS turn
+        FROM placed""",
+    "coded": """
+        SELECT letters, CAST(0 AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS name, CAST(0 AS BIGINT) AS place,
+               CAST(NULL AS VARCHAR) AS code,
+               coalesce((SELECT list(iso_code) FROM countries WHERE left(iso_code, 2) = letters),
+                        CAST([] AS VARCHAR[])) AS codes
+        FROM (SELECT DISTINCT letters FROM queue)
+        UNION ALL
+        SELECT letters, turn, name, place, code, list_append(codes, code)
+        FROM (SELECT q.letters, q.turn, q.name, q.place, c.codes,
+                     CASE WHEN NOT list_contains(c.codes, q.base) THEN q.base
+                          ELSE list_filter(list_transform(range(1, len(c.codes) + 2), lambda n: q.letters || n),
+                                           lambda code: NOT list_contains(c.codes, code))[1] END AS code
+              FROM coded c JOIN queue q ON q.letters = c.letters AND q.turn = c.turn + 1)""",
+}
+
 _MERGE = {
     "stored": """
         SELECT player_id, transfer_date, from_club_id, to_club_id,
@@ -512,9 +559,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT {_NETWORK_ITEM} FROM center_legs WHERE country_id = 3
             ORDER BY coalesce(fee_eur, -1) DESC, transfer_id, direction LIMIT 20 OFFSET 20""", **_ALL_LEGS),
         "club_network_lists": _with(f"""
-            SELECT club_id, club_name, {_EDGE}, count(*) AS listed,
-                   CAST(sum(coalesce(fee_eur, 0)) AS BIGINT) AS listed_fee
-            FROM center_legs WHERE country_id = 3 GROUP BY ALL"""),
+            SELECT club_id, club_name, total_spent_eur, total_received_eur, transfer_count,
+                   transfer_id, direction, fee_eur, transfer_window
+            FROM center_legs
+                 JOIN (SELECT club_id, {_EDGE} FROM center_legs WHERE country_id = 3 GROUP BY club_id) USING (club_id)"""),
         "network_nodes": _with("""
             SELECT target AS node_id, type, label, total_spent_eur, total_received_eur, transfer_count,
                    round(sqrt(volume / largest), 6) AS size_share FROM sized
@@ -555,11 +603,12 @@ def oracle_sql() -> dict[str, str]:
         "ingest_accepted": _with("""
             SELECT player AS player_id, day AS transfer_date, from_club AS from_club_id, to_club AS to_club_id,
                    fee_eur, fee_is_loan, transfer_window, season
-            FROM judged WHERE outcome = 'accepted'"""),
+            FROM judged WHERE outcome LIKE 'accepted%'"""),
         "valuation_reject_counts": _with("""
             SELECT CASE WHEN event_type = 'error' THEN 'missing_player'
                         WHEN event_type = 'signup' THEN 'missing_value'
-                        WHEN event_type = 'click' AND value < 20 THEN 'missing_date'
+                        WHEN event_type = 'click' AND value < 10 THEN 'missing_date'
+                        WHEN event_type = 'click' AND value < 20 THEN 'unread_date'
                         WHEN p.id IS NULL THEN 'unknown_player' ELSE 'accepted' END AS outcome,
                    count(*) AS row_count
             FROM events LEFT JOIN players p ON p.id = user_id GROUP BY ALL"""),
@@ -584,20 +633,10 @@ def oracle_sql() -> dict[str, str]:
             stored="""
                 SELECT player_id, valuation_date, arg_min(valuation_eur, event_id) AS old
                 FROM valuation_rows WHERE event_type IN ('purchase', 'view') GROUP BY ALL"""),
-        "country_iso_codes": _with("""
-            SELECT CAST((SELECT max(id) FROM countries) + row_number() OVER (ORDER BY seen, name) AS INTEGER) AS id,
-                   name,
-                   CASE WHEN clashes THEN left(base, 2)
-                        || row_number() OVER (PARTITION BY left(base, 2), clashes ORDER BY seen, name)
-                        ELSE base END AS iso_code,
+        "country_iso_codes": "WITH RECURSIVE " + _with("""
+            SELECT CAST((SELECT max(id) FROM countries) + place AS INTEGER) AS id, name, code AS iso_code,
                    CAST(0 AS DECIMAL(9,6)) AS latitude, CAST(0 AS DECIMAL(9,6)) AS longitude, FALSE AS in_scope
-            FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY seen, name) > 1 AS clashes
-                  FROM (SELECT *, CASE name WHEN 'South Korea' THEN 'KOR' WHEN 'Other' THEN 'OTH'
-                                            WHEN 'France' THEN 'FRA' ELSE upper(left(name, 3)) END AS base
-                        FROM (SELECT CASE p_size WHEN 1 THEN 'South Korea' WHEN 2 THEN 'Other'
-                                                 WHEN 3 THEN 'France' ELSE p_name END AS name,
-                                     min(p_partkey) AS seen
-                              FROM part WHERE p_size <> 4 GROUP BY 1)))"""),
+            FROM coded WHERE turn > 0""", **_COUNTRY_CODES).removeprefix("WITH "),
         "league_matching": _with("""
             SELECT r_regionkey AS id, r_name AS name,
                    (SELECT 'C' || min(c_custkey) FROM customer JOIN nation ON c_nationkey = n_nationkey

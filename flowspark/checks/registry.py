@@ -297,10 +297,9 @@ def club_network_lists(s: Sample) -> DataFrame:
     edges = clubs.club_network_expanded(s.tables, CLUB, COUNTRY, RANGE)
     rows = clubs.club_network_transfers(s.tables, CLUB, COUNTRY, RANGE)
     nested = clubs.nested_edges(edges, rows)
-    return nested.groupBy("club_id", "club_name", *clubs.EDGE_MEASURES).agg(
-        F.sum(F.size("transfers")).alias("listed"),
-        F.sum(F.aggregate(F.transform("transfers", lambda t: F.coalesce(t["fee_eur"], F.lit(0))),
-                          F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("listed_fee"),
+    return nested.select(
+        "club_id", "club_name", *clubs.EDGE_MEASURES,
+        *[F.col("transfer")[c].alias(c) for c in ("transfer_id", "direction", "fee_eur", "transfer_window")],
     )
 
 
@@ -401,9 +400,9 @@ def merge_valuations(s: Sample) -> DataFrame:
 
 @_query
 def country_iso_codes(s: Sample) -> DataFrame:
-    no_clubs = s.raw_clubs.select("name", F.col("name").alias("country_name"), "_ordinal").filter("false")
-    needed = resolve.needed_countries(s.raw_competitions, no_clubs, "_ordinal")
-    return resolve.new_countries(s.spark, needed, s.countries)
+    needed = resolve.needed_countries(s.raw_competitions, s.club_countries, "_ordinal")
+    needed = s.staged("needed_countries", needed)
+    return resolve.new_countries(s.spark, needed, s.countries, s.staged)
 
 
 @_query
@@ -415,10 +414,7 @@ def league_matching(s: Sample) -> DataFrame:
 
 @_query
 def club_country_resolution(s: Sample) -> DataFrame:
-    by_competition = resolve.competition_countries(s.nation_competitions, "_ordinal")
-    return resolve.club_rows(s.raw_clubs, by_competition, "_ordinal").select(
-        "transfermarkt_id", "name", "country_name"
-    )
+    return s.club_countries.select("transfermarkt_id", "name", "country_name")
 
 
 # --- quality ---------------------------------------------------------------------

@@ -4,6 +4,8 @@ Clubs are suppliers and customers, players are parts, transfers are lineitems wi
 their orders, valuations are events. Nothing here is materialised.
 """
 
+import tempfile
+import uuid
 from dataclasses import replace
 from functools import cached_property
 
@@ -14,8 +16,11 @@ from pyspark.sql import types as T
 from flowspark.functions import money, seasons
 from flowspark.functions.ids import transfer_row_id
 from flowspark.functions.people import position_group
+from flowspark.operators import resolve
 from flowspark.operators.merge import first_per_key
 from flowspark.plans.tables import Tables
+from flowspark.sources.snapshot import MALFORMED
+from flowspark.sources.store import TableStore
 
 _COORDINATE = "decimal(9,6)"
 _SCHEMAS: dict[str, T.StructType] = {}
@@ -229,6 +234,9 @@ class Sample:
         day = (
             F.when(F.col("l_tax") == 0, "")
             .when(F.col("l_tax") == 0.08, "soon")
+            .when(F.col("l_tax") == 0.07, F.date_format(_date("l_shipdate"), "MMM d, yyyy"))
+            .when(F.col("l_tax") == 0.06, F.date_format(_date("l_shipdate"), "MM/dd/yyyy"))
+            .when(F.col("l_tax") == 0.05, F.date_format(_date("l_shipdate"), "yyyy/MM/dd"))
             .otherwise(_date("l_shipdate").cast("string"))
         )
         season = (
@@ -250,8 +258,9 @@ class Sample:
             day.alias("transfer_date"),
             season.alias("transfer_season"),
             fee.alias("transfer_fee"),
+            (F.col("l_quantity") == 31).alias(MALFORMED),
             F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("_ordinal"),
-        ).hint("rebalance")
+        )
 
     @cached_property
     def raw_valuations(self) -> DataFrame:
@@ -260,7 +269,9 @@ class Sample:
         return self.raw("events").select(
             F.when(kind == "error", "").otherwise(F.col("user_id").cast("string")).alias("player_id"),
             F.when(kind == "signup", "NaN").otherwise(F.col("value").cast("string")).alias("market_value_in_eur"),
-            F.when((kind == "click") & (F.col("value") < 20), "soon")
+            F.when((kind == "click") & (F.col("value") < 10), "")
+            .when((kind == "click") & (F.col("value") < 20), "soon")
+            .when(kind == "view", F.date_format(_date("ts"), "d MMMM yyyy"))
             .otherwise(_date("ts").cast("string"))
             .alias("date"),
             F.col("event_id").alias("_ordinal"),
@@ -285,7 +296,9 @@ class Sample:
             .when(size == 2, "United Kingdom")
             .when(size == 3, "France")
             .when(size == 4, "")
-            .otherwise(F.col("p_name"))
+            .when(size < 20, F.col("p_name"))
+            .when(size < 30, F.concat_ws(" ", F.substring("p_name", 1, 6), F.col("p_partkey").cast("string")))
+            .otherwise(F.concat(F.substring("p_name", 1, 2), F.col("p_partkey").cast("string")))
             .alias("country_name"),
             F.col("p_partkey").alias("_ordinal"),
         )
@@ -307,6 +320,19 @@ class Sample:
             F.col("c_custkey").alias("_ordinal"),
         )
 
+    @cached_property
+    def club_countries(self) -> DataFrame:
+        """The raw clubs with the country name each one resolves to."""
+        by_competition = resolve.competition_countries(self.nation_competitions, "_ordinal")
+        return resolve.club_rows(self.raw_clubs, by_competition, "_ordinal")
+
+    def staged(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write rows to the folder that all executors share, and read them."""
+        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
+        if not base:  # local runs
+            base = "file://" + tempfile.mkdtemp(prefix="flowspark-stage-")
+        return TableStore(self.spark, base).stage(name, uuid.uuid4().hex, rows)
+
     @cached_property
     def nation_competitions(self) -> DataFrame:
         """One competition per nation; those of region 3 have no country."""

@@ -1,4 +1,4 @@
-"""Dense ids for new dimension rows."""
+"""Dense ids for new dimension rows, and ranks in an order."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,3 +30,30 @@ def dense_ids(
         .withColumn(name, after + F.col(_OFFSET) + F.col(_RANK))
         .drop(_BUCKET, _OFFSET, _RANK)
     )
+
+
+def ordered_rank(
+    rows: DataFrame, name: str, order: list[str], block: str, group: list[str] | None = None
+) -> DataFrame:
+    """Add the place of each row in an order, from 1, for all rows or within groups.
+
+    `block` rises with the order and bounds how many rows one task sorts: rows are
+    ranked inside their block, and a block starts where those before it end. Only the
+    row counts of the blocks are ordered as a whole.
+    """
+    group = group or []
+    before = (
+        Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = (
+        rows.groupBy(*group, block)
+        .agg(F.count("*").alias("_n"))
+        .select(*group, block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_OFFSET))
+    )
+    inside = Window.partitionBy(*group, block).orderBy(*order)
+    return (
+        rows.withColumn(_RANK, F.row_number().over(inside))
+        .join(offsets, [*group, block])
+        .withColumn(name, F.col(_OFFSET) + F.col(_RANK))
+        .drop(_OFFSET, _RANK)
+    )

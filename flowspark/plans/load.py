@@ -142,8 +142,12 @@ def load_dimensions(store: TableStore, folder: str, version: str, **read_options
     club_names = resolve.club_rows(club_file, by_competition, ORDINAL)
 
     stored_countries = store.read_current("countries")
-    needed = resolve.needed_countries(competitions, club_names, ORDINAL)
-    added = resolve.new_countries(spark, needed, stored_countries)
+    needed = store.stage(
+        "needed_countries", version, resolve.needed_countries(competitions, club_names, ORDINAL)
+    )
+    added = resolve.new_countries(
+        spark, needed, stored_countries, lambda name, rows: store.stage(name, version, rows)
+    )
     countries = store.write("countries", version, stored_countries.unionByName(added))
 
     matched = resolve.match_leagues(store.read_current("leagues"), competitions, ORDINAL)
@@ -234,13 +238,14 @@ def run_load(
     """
     at = at or _now()
     version = _new_version()
+    based_on = store.sequence()
     load_dimensions(store, folder, version, **read_options)
     counts = load_facts(store, folder, version, **read_options)
     counts.update(rebuild_aggregates(store, version, version))
 
     processed = _processed(store, version)
     records = sum(processed.values())
-    store.publish(dict.fromkeys(schemas.TABLES, version), records, source_version, at)
+    store.publish(dict.fromkeys(schemas.TABLES, version), records, source_version, at, based_on)
 
     tables = current_tables(store)
     report = quality.quality_report(tables, at.date())

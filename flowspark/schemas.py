@@ -100,15 +100,16 @@ TABLES: dict[str, T.StructType] = {
     "club_transfer_summaries": CLUB_TRANSFER_SUMMARIES,
 }
 
-UNIQUE_KEYS: dict[str, list[str]] = {
-    "countries": ["id"],
-    "leagues": ["id"],
-    "clubs": ["transfermarkt_id"],
-    "players": ["transfermarkt_id"],
-    "transfers": ["player_id", "transfer_date", "from_club_id", "to_club_id"],
-    "player_valuations": ["player_id", "valuation_date"],
-    "country_transfer_flows": ["from_country_id", "to_country_id", "transfer_window"],
-    "club_transfer_summaries": ["club_id", "transfer_window"],
+# Every key of a table. The id of a transfer is a hash of its key, so it needs no check.
+UNIQUE_KEYS: dict[str, list[list[str]]] = {
+    "countries": [["id"], ["name"], ["iso_code"]],
+    "leagues": [["id"], ["transfermarkt_id"]],
+    "clubs": [["id"], ["transfermarkt_id"]],
+    "players": [["id"], ["transfermarkt_id"]],
+    "transfers": [["player_id", "transfer_date", "from_club_id", "to_club_id"]],
+    "player_valuations": [["player_id", "valuation_date"]],
+    "country_transfer_flows": [["from_country_id", "to_country_id", "transfer_window"]],
+    "club_transfer_summaries": [["club_id", "transfer_window"]],
 }
 
 

@@ -19,6 +19,9 @@ REQUIRED_COLUMNS = {
     "player_valuations.csv": {"player_id", "date", "market_value_in_eur"},
 }
 
+# Files of facts: a row that cannot be read is rejected and counted, the rest is loaded.
+FACT_FILES = {"transfers.csv", "player_valuations.csv"}
+
 # Further columns each file may have without a warning.
 OPTIONAL_COLUMNS = {
     "competitions.csv": {

@@ -1,12 +1,29 @@
 """Reader of raw CSV snapshots."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.sources import contract
 
 ORDINAL = "_ordinal"
+MALFORMED = "_malformed"
+_RECORD = "_corrupt_record"
+
+
+class AmbiguousFileError(RuntimeError):
+    """Two forms of one file in a snapshot."""
+
+
+def _is_malformed(fields: int) -> Column:
+    """More fields than the header, or a quoted field cut by a line break.
+
+    Spark keeps the text of rows whose field count is wrong. Short rows are no fault:
+    their missing fields are null.
+    """
+    outside_quotes = F.regexp_replace(_RECORD, '"(?:[^"]|"")*"', "")
+    too_many = F.length(F.regexp_replace(outside_quotes, "[^,]", "")) >= fields
+    return F.col(_RECORD).isNotNull() & (too_many | F.contains(outside_quotes, F.lit('"')))
 
 
 def read_csv(spark: SparkSession, path: str, file_name: str, multi_line: bool = False) -> DataFrame:
@@ -17,21 +34,33 @@ def read_csv(spark: SparkSession, path: str, file_name: str, multi_line: bool =
     part file is checked against them. Set multi_line=True when quoted fields hold
     line breaks; such files are not split.
 
+    Rows of facts with too many fields, or cut by such a line break, are marked in
+    `_malformed`; in other files they raise when they are read.
+
     The ordinal sorts rows by file, then block, then row within the block, so the
     first row of a key can be told without a global sort.
     """
     options = {"header": True, "escape": '"', "multiLine": multi_line}
     header = spark.read.options(**options).csv(path).columns
     contract.check_columns(file_name, header)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    rows = spark.read.options(**options, enforceSchema=False).schema(schema).csv(path)
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, _RECORD]])
+    # Field counts are only seen by a parser that takes whole rows.
+    options |= {"enforceSchema": False, "columnPruning": False}
+    rows = spark.read.options(**options).schema(schema).csv(path)
     wanted = [c for c in header if c in contract.REQUIRED_COLUMNS.get(file_name, header)]
     ordinal = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return rows.select(*wanted, ordinal.alias(ORDINAL))
+    malformed = _is_malformed(len(header))
+    if file_name in contract.FACT_FILES:
+        return rows.select(*wanted, malformed.alias(MALFORMED), ordinal.alias(ORDINAL))
+    # Naming the row's first field also keeps the check in plans that need no column.
+    message = F.concat_ws(" ", F.lit(f"{file_name}: malformed row"), header[0], _RECORD)
+    return rows.filter(F.when(malformed, F.raise_error(message).cast("boolean")).otherwise(True)).select(
+        *wanted, ordinal.alias(ORDINAL)
+    )
 
 
 def read_snapshot(
@@ -42,5 +71,10 @@ def read_snapshot(
     The name may also be a folder of part files, as Spark writes it. One gzip file
     is read by one task; pass `partitions` to spread its rows for the later steps.
     """
-    rows = read_csv(spark, f"{folder.rstrip('/')}/{file_name}{{,.gz}}", file_name, **options)
+    path = f"{folder.rstrip('/')}/{file_name}{{,.gz}}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file_system = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if len(file_system.globStatus(hadoop_path)) > 1:
+        raise AmbiguousFileError(f"{folder}: both {file_name} and {file_name}.gz")
+    rows = read_csv(spark, path, file_name, **options)
     return rows if partitions is None else rows.repartition(partitions)

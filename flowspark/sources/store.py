@@ -38,6 +38,10 @@ class DuplicateKeyError(RuntimeError):
     """A table version has two rows of one unique key."""
 
 
+class PublishConflictError(RuntimeError):
+    """Another load was published in between."""
+
+
 class TableStore:
     """Tables under one base folder of any Hadoop file system."""
 
@@ -51,8 +55,7 @@ class TableStore:
     def load_log(self) -> DataFrame:
         """All published loads; empty before the first one."""
         log = f"{self.base}/_published"
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(log)
-        file_system = hadoop_path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        file_system, hadoop_path = self._hadoop(log)
         if not file_system.exists(hadoop_path):
             return self.spark.createDataFrame([], LOG_SCHEMA)
         return self.spark.read.schema(LOG_SCHEMA).parquet(log)
@@ -108,33 +111,78 @@ class TableStore:
     def check_unique(self, versions: dict[str, str]) -> None:
         """Raise if any of the table versions repeats a unique key; one query for all."""
         checks = [
-            duplicate_keys(self.read(table, version), schemas.UNIQUE_KEYS[table])
-            .limit(1)
-            .select(F.lit(table).alias("table_name"))
+            self._repeats(table, version, key).select(
+                F.lit(table).alias("table_name"), F.lit(", ".join(key)).alias("key")
+            )
             for table, version in versions.items()
+            for key in schemas.UNIQUE_KEYS[table]
         ]
-        repeated = [r["table_name"] for r in reduce(DataFrame.unionByName, checks).collect()]
+        repeated = [f"{r['table_name']} ({r['key']})" for r in reduce(DataFrame.unionByName, checks).collect()]
         if repeated:
-            keys = {t: schemas.UNIQUE_KEYS[t] for t in repeated}
-            raise DuplicateKeyError(f"repeated keys: {keys}")
+            raise DuplicateKeyError(f"repeated keys: {repeated}")
+
+    def _repeats(self, table: str, version: str, key: list[str]) -> DataFrame:
+        """One row if the key repeats. A null in a key of one column is no value."""
+        rows = self.read(table, version)
+        if len(key) == 1:
+            rows = rows.filter(F.col(key[0]).isNotNull())
+        return duplicate_keys(rows, key).limit(1)
+
+    def sequence(self) -> int:
+        """Number of the newest log row; 0 before the first one."""
+        newest = self.latest().first()
+        return newest["sequence"] if newest else 0
 
     def publish(
-        self, versions: dict[str, str], records: int, source_version: str | None, at: datetime
+        self,
+        versions: dict[str, str],
+        records: int,
+        source_version: str | None,
+        at: datetime,
+        based_on: int | None = None,
     ) -> None:
-        """Check the new versions, then make them current in one step."""
+        """Check the new versions, then make them current in one step.
+
+        `based_on` is the sequence that a load read its stored tables from. If another
+        load has published since, or takes the same number now, this one raises and
+        leaves the published tables as they are.
+        """
         self.check_unique(versions)
         newest = self.latest().first()
-        sequence = newest["sequence"] + 1 if newest else 1
+        last = newest["sequence"] if newest else 0
+        if based_on is not None and based_on != last:
+            raise PublishConflictError(f"based on load {based_on}, but {last} is published")
+        self._claim(last + 1)
         everything = {**(newest["versions"] if newest else {}), **versions}
         row = self.spark.createDataFrame(
-            [(sequence, at, records, source_version, everything)], LOG_SCHEMA
+            [(last + 1, at, records, source_version, everything)], LOG_SCHEMA
         )
         row.coalesce(1).write.mode("append").parquet(f"{self.base}/_published")
 
+    def _claim(self, sequence: int) -> None:
+        """Take a sequence number, as a file that only one publisher can create.
 
-def append_rows(rows: DataFrame, path: str) -> None:
-    """Plain append sink."""
-    rows.write.mode("append").parquet(path)
+        A publisher that dies between its claim and its log row leaves the claim; the
+        next load then raises until `release` is called for that number.
+        """
+        file_system, path = self._hadoop(self._claim_path(sequence))
+        if not file_system.createNewFile(path):
+            raise PublishConflictError(f"load {sequence} is being published or was left unfinished")
+
+    def release(self, sequence: int) -> None:
+        """Give back the claim of a publisher known to be dead."""
+        if sequence <= self.sequence():
+            raise PublishConflictError(f"load {sequence} is published")
+        file_system, path = self._hadoop(self._claim_path(sequence))
+        file_system.delete(path, False)
+
+    def _claim_path(self, sequence: int) -> str:
+        return f"{self.base}/_claims/{sequence:012d}"
+
+    def _hadoop(self, path: str):
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        return hadoop_path.getFileSystem(conf), hadoop_path
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

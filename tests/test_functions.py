@@ -174,3 +174,18 @@ def test_transfer_row_id(spark):
 def test_event_year(spark):
     df = spark.createDataFrame([(date(2023, 7, 1), "2019-2020"), (None, "2019-2020")], "d date, s string")
     assert [r[0] for r in df.select(seasons.event_year(F.col("d"), F.col("s"))).collect()] == ["2023", "2019"]
+
+
+def test_dates(spark):
+    from flowspark.functions.text import parse_date
+
+    day = date(2023, 7, 2)
+    cases = {
+        "2023-07-02": day, "2023-07-02 10:00:00": day, "2023-07-02T10:00:00": day, "07/02/2023": day,
+        "7/2/2023 9:30": day, "2023/07/02": day, "20230702": day, "Jul 2, 2023": day, "July 2, 2023": day,
+        "2 jul 2023": day, "02-JUL-2023": day, "7-2-2023": day, "13/02/2023": date(2023, 2, 13),
+        "Sept 3, 2021": date(2021, 9, 3), "soon": None, "": None, "2023-13-01": None, "31/31/2023": None,
+        "Feb 30, 2021": None, "Jum 1, 2021": None, None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", parse_date(F.col("t")).alias("d"))
+    assert {r.t: r.d for r in rows.collect()} == cases

@@ -2,7 +2,9 @@
 
 import gzip
 import logging
+import random
 import shutil
+from collections import Counter
 from datetime import date, datetime, timezone
 
 import pytest
@@ -12,8 +14,8 @@ from flowspark.operators import merge
 from flowspark.plans import load
 from flowspark.sources import seeds
 from flowspark.sources.contract import SchemaValidationError, check_columns
-from flowspark.sources.snapshot import ORDINAL, read_csv, read_snapshot
-from flowspark.sources.store import DuplicateKeyError, TableStore, append_rows, freshness, row_counts
+from flowspark.sources.snapshot import ORDINAL, AmbiguousFileError, read_csv, read_snapshot
+from flowspark.sources.store import DuplicateKeyError, PublishConflictError, TableStore, freshness, row_counts
 from tests.conftest import write_csv
 
 AT = datetime(2024, 6, 1, tzinfo=timezone.utc)
@@ -44,43 +46,48 @@ def valuation(pid, day, value):
 
 COMPETITIONS = [competition("GB1", "Premier League", "England"), competition("ES1", "LaLiga", "Spain")]
 PLAYERS = [
-    player("100", "Ada", "1995-06-15", "attack", "Centre-Forward", "England", "/ada"),
-    player("200", "Bo", "1998-01-20", "midfield", "Central Midfield", "Spain", "/bo"),
-    player("300", "Cy", "2000-03-10", "defender", "Centre-Back", "England", "/cy"),
-    player("400", ""),
-    player("", "No Id"),
+    player("7001", "Ines", "1991-11-30", "goalkeeper", "Goalkeeper", "Portugal", "/p/ines"),
+    player("7002.0", "Juno", "3 Mar 1997", "defender", "Left-Back", "", "/p/juno"),
+    player("7003", "Kofi", "02/28/2001", "attack", "Right Winger", "Ghana", "/p/kofi"),
+    player("7004", "NA", "unknown"),
+    player("nan", "Nobody"),
 ]
 CLUBS = [
-    club("10", "Club A", "GB1", "/a"),
-    club("20", "Club B", "ES1", "/b"),
-    club("30", "Club C", "GB1", "/c"),
-    club("40", "AS Monaco", "GB1", "/m"),
-    club("50", "Lost Club", "XX9", "/l"),
-    club("", "No Id Club", "GB1"),
+    club("81", "Harbour", "ES1", "/c/harbour"),
+    club("82", "Ironworks", "GB1", "/c/ironworks"),
+    club("83", "Juniper", "ES1", "/c/juniper"),
+    club("84", "AS Monaco", "ES1", "/c/monaco"),
+    club("85", "Kite Hill", "ZZ0", "/c/kite"),
+    club("NULL", "No Key", "ES1"),
 ]
-TRANSFERS = [
-    transfer("100", "2023-07-01", "23/24", "10", "20", "50000000.000"),
-    transfer("200", "2024-01-15", "23/24", "20", "30", "0.000"),
-    transfer("300", "2023-08-15", "23/24", "30", "10", ""),
-    transfer("999", "2023-07-01", "23/24", "10", "20", "1000000.000"),
-    transfer("100", "2023-09-01", "23/24", "9999", "20", "2000000.000"),
-    transfer("100", "2023-10-01", "23/24", "10", "9999", "3000000.000"),
-    transfer("", "2023-07-01", "23/24", "10", "20", "1000000.000"),
-    transfer("200", "2023-07-01", "23/24", "", "20", "1000000.000"),
-    transfer("200", "", "22/23", "20", "10", "500000.000"),
-    transfer("300", "", "", "30", "20", "100000.000"),
-    transfer("100", "2024-02-01", "", "20", "10", "5"),
-    transfer("100", "2024-06-30", "23/24", "20", "10", "End of loan"),
+# (row, outcome): the expected counts are taken from the outcomes.
+TRANSFER_CASES = [
+    (transfer("7003", "2021-08-31", "21/22", "82", "83", "€1.25m"), "accepted"),
+    (transfer("7001", "2022-01-09", "21/22", "83", "81", "free transfer"), "accepted"),
+    (transfer("7002", "12/20/2020", "20/21", "81", "82", "?"), "accepted"),
+    (transfer("7002", "", "19/20", "83", "82", "€300k"), "accepted"),
+    (transfer("7001", "some day", "18/19", "82", "81", "40"), "accepted_unread_date"),
+    (transfer("7003", "2019-06-30", "18/19", "83", "82", "End of loan"), "excluded_fee"),
+    (transfer("n/a", "2021-08-31", "21/22", "82", "83", "10"), "missing_player"),
+    (transfer("7003", "2021-08-30", "21/22", "82", "", "10"), "missing_club"),
+    (transfer("7002", "", "", "81", "83", "10"), "no_window_or_season"),
+    (transfer("7001", "2020-02-02", "", "81", "83", "10"), "no_window_or_season"),
+    (transfer("6666", "2021-08-31", "21/22", "82", "83", "10"), "unknown_player"),
+    (transfer("7001", "2021-07-04", "21/22", "8888", "83", "10"), "unknown_club"),
+    (transfer("7001", "2021-07-05", "21/22", "83", "8888", "10"), "unknown_club"),
 ]
-VALUATIONS = [
-    valuation("100", "2023-06-01", "60000000.0"),
-    valuation("100", "2024-01-01", "55000000.0"),
-    valuation("200", "2023-06-01", "10000000.0"),
-    valuation("200", "2024-01-01", ""),
-    valuation("999", "2023-06-01", "5000000.0"),
-    valuation("100", "", "70000000.0"),
-    valuation("", "2023-06-01", "1000000.0"),
+TRANSFERS = [row for row, _ in TRANSFER_CASES]
+VALUATION_CASES = [
+    (valuation("7001", "2020-12-31", "1500000"), "accepted"),
+    (valuation("7001", "June 30, 2021", "1750000.5"), "accepted"),
+    (valuation("7003", "2021/12/15", "8000000"), "accepted"),
+    (valuation("7002", "2021-12-15", "NaN"), "missing_value"),
+    (valuation("7002", "", "900000"), "missing_date"),
+    (valuation("7002", "spring", "900000"), "unread_date"),
+    (valuation("", "2021-12-15", "900000"), "missing_player"),
+    (valuation("6666", "2021-12-15", "900000"), "unknown_player"),
 ]
+VALUATIONS = [row for row, _ in VALUATION_CASES]
 FILES = {"competitions.csv": COMPETITIONS, "players.csv": PLAYERS, "clubs.csv": CLUBS,
          "transfers.csv": TRANSFERS, "player_valuations.csv": VALUATIONS}
 
@@ -120,30 +127,33 @@ def transfer_set(tables):
     }
 
 
+def counted(cases, table):
+    return {f"{table}.{outcome}": n for outcome, n in Counter(o for _, o in cases).items()}
+
+
 def test_full_load_twice(spark, store, tmp_path):
     folder = snapshot(tmp_path / "raw")
     first = load.run_load(store, folder, "abc", AT)
     t = first.tables
 
-    assert first.records == 4 + 5 + 4 + 3
-    assert first.counts["transfers.accepted"] == 4
-    assert first.counts["transfers.excluded_fee"] == 1
-    assert sum(n for k, n in first.counts.items()
-               if k.startswith("transfers.") and k not in ("transfers.accepted", "transfers.processed")) == 8
-    assert first.counts["player_valuations.accepted"] == 3
+    counts = {k: n for k, n in first.counts.items() if "." in k and not k.endswith(".processed")}
+    assert counts == counted(TRANSFER_CASES, "transfers") | counted(VALUATION_CASES, "player_valuations")
+    assert first.records == 4 + 5 + 5 + 3
 
     assert transfer_set(t) == {
-        ("100", date(2023, 7, 1), "10", "20"): (5_000_000_000, False, "Summer 2023", "2023-2024"),
-        ("200", date(2024, 1, 15), "20", "30"): (0, False, "Winter 2024", "2023-2024"),
-        ("300", date(2023, 8, 15), "30", "10"): (None, False, "Summer 2023", "2023-2024"),
-        ("200", None, "20", "10"): (50_000_000, False, "Summer 2022", "2022-2023"),
+        ("7003", date(2021, 8, 31), "82", "83"): (125_000_000, False, "Summer 2021", "2021-2022"),
+        ("7001", date(2022, 1, 9), "83", "81"): (0, False, "Winter 2022", "2021-2022"),
+        ("7002", date(2020, 12, 20), "81", "82"): (None, False, "Summer 2020", "2020-2021"),
+        ("7002", None, "83", "82"): (30_000_000, False, "Summer 2019", "2019-2020"),
+        ("7001", None, "82", "81"): (4_000, False, "Summer 2018", "2018-2019"),
     }
     by_id = {r.transfermarkt_id: r for r in t.players.collect()}
-    assert set(by_id) == {"100", "200", "300", "400"}
-    ada = by_id["100"]
-    assert (ada.name, ada.date_of_birth, ada.position, ada.position_group, ada.nationality) == (
-        "Ada", date(1995, 6, 15), "Centre-Forward", "FWD", "England")
-    assert (by_id["400"].name, by_id["400"].date_of_birth, by_id["400"].position_group) == ("Unknown", None, None)
+    assert {k: (r.name, r.date_of_birth, r.position, r.position_group, r.nationality) for k, r in by_id.items()} == {
+        "7001": ("Ines", date(1991, 11, 30), "Goalkeeper", "GK", "Portugal"),
+        "7002": ("Juno", date(1997, 3, 3), "Left-Back", "DEF", None),
+        "7003": ("Kofi", date(2001, 2, 28), "Right Winger", "FWD", "Ghana"),
+        "7004": ("Unknown", None, None, None, None),
+    }
     assert sorted(r.id for r in by_id.values()) == [1, 2, 3, 4]
 
     countries = {r.id: r for r in t.countries.collect()}
@@ -153,17 +163,17 @@ def test_full_load_twice(spark, store, tmp_path):
     assert (france.id, france.in_scope) == (4, False)
     clubs = {r.transfermarkt_id: r for r in t.clubs.collect()}
     assert {k: countries[r.country_id].name for k, r in clubs.items()} == {
-        "10": "England", "20": "Spain", "30": "England", "40": "France", "50": "Other"}
-    assert clubs["10"].current_league_id == 1 and clubs["50"].current_league_id is None
+        "81": "Spain", "82": "England", "83": "Spain", "84": "France", "85": "Other"}
+    assert clubs["81"].current_league_id == 2 and clubs["85"].current_league_id is None
     assert {r.name: r.transfermarkt_id for r in t.leagues.collect()} == {"Premier League": "GB1", "LaLiga": "ES1"}
 
     values = {(r.player_id, r.valuation_date): r.valuation_eur for r in t.player_valuations.collect()}
     assert values == {
-        (ada.id, date(2023, 6, 1)): 6_000_000_000,
-        (ada.id, date(2024, 1, 1)): 5_500_000_000,
-        (by_id["200"].id, date(2023, 6, 1)): 1_000_000_000,
+        (by_id["7001"].id, date(2020, 12, 31)): 150_000_000,
+        (by_id["7001"].id, date(2021, 6, 30)): 175_000_050,
+        (by_id["7003"].id, date(2021, 12, 15)): 800_000_000,
     }
-    assert t.country_transfer_flows.count() == 4
+    assert t.country_transfer_flows.count() == 5
     report = {r.name: r for r in first.report.collect()}
     assert len(report) == 13
     assert report["country_flow_reconciliation"].passed and report["no_orphan_transfers"].passed
@@ -182,50 +192,73 @@ def test_full_load_twice(spark, store, tmp_path):
 
     latest = store.latest().first()
     assert (latest.records_processed, latest.source_commit_hash, latest.last_ingestion_at) == (
-        16, "abc", AT.replace(tzinfo=None))
+        17, "abc", AT.replace(tzinfo=None))
     load.log_report(second.report)
 
 
 def test_reload_rules(spark, store, tmp_path):
     load.run_load(store, snapshot(tmp_path / "one"), "1", AT)
     changed = dict(
-        players=[player("100", "Ada X"), player("100", "Ada Y"), player("500", "Eve 1"), player("500", "Eve 2")],
-        clubs=[club("10", "Club A2", "ES1"), club("60", "Newport County", "ES1")],
+        players=[player("7001", "Ines B"), player("7001", "Ines C"), player("7009", "Lena 1"),
+                 player("7009", "Lena 2")],
+        clubs=[club("82", "Ironworks FC", "ES1"), club("86", "Newport County", "ES1")],
         transfers=[
-            # stored fee 50m: the last differing row counts, though the stored value comes last
-            transfer("100", "2023-07-01", "23/24", "10", "20", "1"),
-            transfer("100", "2023-07-01", "23/24", "10", "20", "2"),
-            transfer("100", "2023-07-01", "23/24", "10", "20", "50000000.000"),
+            # stored fee 1.25m: the last differing row counts, though the stored value comes last
+            transfer("7003", "2021-08-31", "21/22", "82", "83", "3"),
+            transfer("7003", "2021-08-31", "21/22", "82", "83", "6"),
+            transfer("7003", "31/08/2021", "21/22", "82", "83", "1,250,000"),
             # new key: the first row counts
-            transfer("500", "2024-07-01", "24/25", "10", "60", "7"),
-            transfer("500", "2024-07-01", "24/25", "10", "60", "8"),
+            transfer("7009", "2023-06-20", "22/23", "81", "86", "9"),
+            transfer("7009", "2023-06-20", "22/23", "81", "86", "11"),
             # null dates are one key
-            transfer("200", "", "22/23", "20", "10", "500000.000"),
-            transfer("200", "soon", "22/23", "20", "10", "600000.000"),
+            transfer("7002", "", "19/20", "83", "82", "€300k"),
+            transfer("7002", "soon", "19/20", "83", "82", "€310k"),
         ],
-        player_valuations=[valuation("100", "2023-06-01", "99000000.0"), valuation("100", "2023-06-01", "60000000.0")],
+        player_valuations=[valuation("7001", "2020-12-31", "2500000"), valuation("7001", "2020-12-31", "1500000")],
     )
     result = load.run_load(store, snapshot(tmp_path / "two", **changed), "2", AT)
     t = result.tables
     names = {r.transfermarkt_id: r.name for r in t.players.collect()}
-    assert names["100"] == "Ada Y" and names["500"] == "Eve 1" and names["300"] == "Cy"
-    assert ids(t.players)["500"] == 5
+    assert names["7001"] == "Ines C" and names["7009"] == "Lena 1" and names["7003"] == "Kofi"
+    assert ids(t.players)["7009"] == 5
     clubs = {r.transfermarkt_id: r for r in t.clubs.collect()}
-    assert clubs["10"].name == "Club A2" and clubs["10"].country_id == 1 and clubs["10"].current_league_id == 2
-    assert clubs["60"].country_id == 1
+    assert clubs["82"].name == "Ironworks FC" and clubs["82"].country_id == 1 and clubs["82"].current_league_id == 2
+    assert clubs["86"].country_id == 1
     got = transfer_set(t)
-    assert got["100", date(2023, 7, 1), "10", "20"][0] == 200
-    assert got["500", date(2024, 7, 1), "10", "60"][0] == 700
-    assert got["200", None, "20", "10"][0] == 60_000_000
-    assert len(got) == 5
-    value = t.player_valuations.filter("valuation_date = '2023-06-01'").orderBy(F.desc("valuation_eur")).first()
-    assert value.valuation_eur == 9_900_000_000
+    assert got["7003", date(2021, 8, 31), "82", "83"][0] == 600
+    assert got["7009", date(2023, 6, 20), "81", "86"][0] == 900
+    assert got["7002", None, "83", "82"][0] == 31_000_000
+    assert len(got) == 6
+    value = t.player_valuations.filter("valuation_date = '2020-12-31'").first()
+    assert value.valuation_eur == 250_000_000
     outcomes = {r.change: (r.key_count, r.row_count)
                 for r in merge.change_counts(store.outcomes("transfers", result.version)).collect()}
-    assert outcomes == {"insert": (1, 2), "update": (2, 5), "kept": (2, 0)}
+    assert outcomes == {"insert": (1, 2), "update": (2, 5), "kept": (3, 0)}
     assert result.counts["transfers.processed"] == 7
 
 
+def test_codes_and_malformed_rows_of_a_load(spark, store, tmp_path):
+    nations = ["Zqx", "ZQ1 land", "Zqx two", "Zqx three", "ZQ2 land"]
+    folder = snapshot(tmp_path / "raw", competitions=[competition(f"Z{i}", "Cup", n) for i, n in enumerate(nations)],
+                      clubs=[club(str(i), "Club", f"Z{i}") for i in range(len(nations))])
+    with open(tmp_path / "raw" / "transfers.csv", "a", encoding="utf-8") as f:
+        f.write("7001,2021-01-01,20/21,1,2,,,5,,,surplus\n")
+        f.write('7001,2021-01-01,20/21,1,2,,,5,,"cut\nhere"\n')
+    result = load.run_load(store, folder, "z", AT)
+    codes = {r.name: r.iso_code for r in result.tables.countries.collect()}
+    assert [codes[n] for n in nations] == ["ZQX", "ZQ1", "ZQ2", "ZQ3", "ZQ4"]
+    assert result.counts["transfers.malformed_row"] >= 2
+
+    with open(tmp_path / "raw" / "players.csv", "a", encoding="utf-8") as f:
+        f.write("1,a,,,,,,surplus\n")
+    with pytest.raises(Exception, match="players.csv: malformed row"):
+        load.run_load(store, folder, "z", AT)
+    assert store.sequence() == 2
+    (tmp_path / "raw" / "clubs.csv.gz").write_bytes(b"")
+    with pytest.raises(AmbiguousFileError):
+        read_snapshot(spark, folder, "clubs.csv")
+
+
 def test_contract(spark, tmp_path, caplog):
     write_csv(tmp_path / "transfers.csv", [{"player_id": "1", "transfer_date": ""}])
     with pytest.raises(SchemaValidationError, match="transfer_fee"):
@@ -277,15 +310,57 @@ def test_store(spark, tmp_path):
     with pytest.raises(DuplicateKeyError):
         store.publish({"countries": "bad"}, 0, None, AT)
     assert store.read_current("countries").count() == 13
-    append_rows(seeds.seed_leagues(spark), str(tmp_path / "more"))
-    append_rows(seeds.seed_leagues(spark), str(tmp_path / "more"))
-    tables = {"a": spark.read.parquet(str(tmp_path / "more")), "b": store.read_current("countries")}
-    assert {r.table_name: r.row_count for r in row_counts(tables).collect()} == {"a": 30, "b": 13}
+    renamed = seeds.seed_countries(spark).withColumn("iso_code", F.lit("SAM"))
+    store.write("countries", "same", renamed)
+    with pytest.raises(DuplicateKeyError, match="iso_code"):
+        store.publish({"countries": "same"}, 0, None, AT)
+    tables = {"a": seeds.seed_leagues(spark), "b": store.read_current("countries")}
+    assert {r.table_name: r.row_count for r in row_counts(tables).collect()} == {"a": 15, "b": 13}
     fresh = freshness(store.latest(), datetime(2024, 7, 16, tzinfo=timezone.utc)).first()
     assert (fresh.age_days, fresh.is_stale) == (45.0, False)
     assert freshness(store.latest(), datetime(2024, 7, 17, tzinfo=timezone.utc)).first().is_stale
 
 
+def test_publish_conflicts(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "t"))
+    load.seed(store, AT)
+    store.write("leagues", "mine", seeds.seed_leagues(spark))
+    with pytest.raises(PublishConflictError, match="based on"):
+        store.publish({"leagues": "mine"}, 0, None, AT, based_on=0)
+    store._claim(2)  # another publisher is at work, or died
+    with pytest.raises(PublishConflictError, match="left unfinished"):
+        store.publish({"leagues": "mine"}, 0, None, AT, based_on=1)
+    store.release(2)
+    store.publish({"leagues": "mine"}, 0, None, AT, based_on=1)
+    assert store.versions()["leagues"] == "mine" and store.sequence() == 2
+    with pytest.raises(PublishConflictError):
+        store.release(2)
+
+
+def test_codes_follow_the_sequential_rule(spark, monkeypatch):
+    """Codes of many names that meet, against one name after the other; small blocks."""
+    from flowspark.operators import resolve
+    from flowspark.sources.iso_codes import ISO_CODES
+
+    monkeypatch.setattr(resolve, "ROWS_IN_BLOCK", 7)
+    rnd = random.Random(5)
+    stored = [(1, "Other", "OTH"), (2, "a", "ZQ3"), (3, "b", "ZR1"), (4, "c", "ZQA")]
+    names = [f"z{rnd.choice('qr')}{rnd.choice('123456789ABC0')} {i}" for i in range(80)] + ["France"]
+    taken, want = {code for _, _, code in stored}, []
+    for number, name in enumerate(names, 5):
+        base = ISO_CODES.get(name, name[:3].upper())
+        options = [base, *[f"{base[:2]}{n}" for n in range(1, 100)]]
+        want.append((number, name, next(c for c in options if c not in taken)))
+        taken.add(want[-1][2])
+    competitions = spark.createDataFrame([("", n, i) for i, n in enumerate(names[:50])],
+                                         "competition_id string, country_name string, o int")
+    clubs = spark.createDataFrame([("", n, i) for i, n in enumerate(names[50:])],
+                                  "name string, country_name string, o int")
+    countries = spark.createDataFrame(stored, "id int, name string, iso_code string")
+    added = resolve.new_countries(spark, resolve.needed_countries(competitions, clubs, "o"), countries)
+    assert [(r.id, r.name, r.iso_code) for r in added.orderBy("id").collect()] == want
+
+
 def test_country_names_and_codes(spark):
     from flowspark.operators import resolve
 
