@@ -260,7 +260,7 @@ class Sample:
             fee.alias("transfer_fee"),
             (F.col("l_quantity") == 31).alias(MALFORMED),
             F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("_ordinal"),
-        )
+        ).hint("rebalance")
 
     @cached_property
     def raw_valuations(self) -> DataFrame:
