@@ -29,8 +29,6 @@ from .components import connected_components
 
 SEED = 42
 SHARD_LIMIT = 8192
-#: Bits that similar_groups takes at least, so that distances tell similarities well.
-LEAST_BITS = 512
 #: (query, node) pairs that a search step holds at most, about.
 STEP = 1 << 20
 
@@ -218,30 +216,5 @@ def simhash_groups(
     return prints.join(classes, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def banding(rows: int, apart: float) -> tuple[int, int, int]:
-    """Fingerprint bits, bands and bits of a band for rows of which near ones differ in a share of bits.
-
-    A band has as many bits as keep its shards small, so more rows take longer bands, and as
-    many bands as let two texts at that distance share one with a chance of 0.995.
-    """
-    band_bits = max(8, min(20, round(math.log2(max(rows, 1) / 128))))
-    bands = math.ceil(math.log(0.005) / math.log(1 - (1 - apart) ** band_bits))
-    return max(LEAST_BITS, 64 * math.ceil(bands * band_bits / 64)), bands, band_bits
-
-
-def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Groups of texts whose sets of shingles have about that Jaccard similarity or more.
-
-    A Jaccard similarity of s is an angle of arccos(2s / (1 + s)) between the shingle sets, and
-    fingerprints differ in that share of a half turn. The radius is that share of the bits
-    plus 0.7 standard deviations, which errs by about 0.03 of similarity either way. Columns as
-    of simhash_groups.
-    """
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits, bands, band_bits = banding(docs.count(), apart)
-    radius = math.floor(bits * apart + 0.7 * math.sqrt(bits * apart * (1 - apart)))
-    return simhash_groups(docs, shingle=shingle, bits=bits, radius=radius, bands=bands, band_bits=band_bits)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))

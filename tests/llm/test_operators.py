@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowspark.llm import ann, chat, components, contamination, html_text, mixing, quality, queries, simhash, substrings, toxicity, url_filter
+from flowspark.llm import ann, chat, components, contamination, html_text, mixing, quality, queries, simhash, similar, substrings, toxicity, url_filter
 from tests.compare import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -228,3 +228,37 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs, SF_DIR).columns == docs.columns
     kept = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR).toPandas()
     assert not kept["text"].str.lower().str.split().str.join(" ").duplicated().any()
+
+
+def jaccard(a, b):
+    def cut(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    a, b = cut(a), cut(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize(("stars", "sampled"), [(4, 1), (1, 16)])
+def test_near_copies_equal_all_pairs(spark, docs, monkeypatch, stars, sampled):
+    monkeypatch.setattr(similar, "STARS", stars)
+    monkeypatch.setattr(similar, "SAMPLED", sampled)
+    rng = random.Random(11)
+    texts = [r["text"] for r in docs.collect()]
+    for _ in range(6):  # chains of edits, with similarities on both sides of 0.8
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(12, 120))]
+        for _ in range(7):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randint(1, 3)):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(5000)}"
+    line = "one line that many texts repeat over and over "
+    texts += [line * 60 + " ".join(f"u{k}x{i}" for i in range(30)) for k in range(4)]  # near only by the repeated line
+    texts += [f"{p} " * n + tail for p, tail in [("go to the next page now", "q r s t u v w x y z")] for n in (2, 40)]
+    low = brute_components(dict(enumerate(texts)), lambda a, b: jaccard(a, b) >= 0.8)
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r["row"]: r["component"] for r in similar.similar_groups(rows).collect()}
+    assert got == low
+    last = len(texts) - 1
+    assert len({low[k] for k in range(last - 5, last - 1)}) == 4 and low[last] == last - 1
+    assert similar.similar_groups(rows.limit(0)).count() == 0
