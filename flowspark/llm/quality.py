@@ -196,6 +196,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, label: str = "quality", part
     return scored.withColumn("held_out", in_fold(F.col("doc_id"), parts, fold)).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 
 
+def can_learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", parts: int = 4, fold: int = 2) -> bool:
+    """Whether documents outside the fold have labels of both kinds; without them all scores are alike."""
+    known = labels.where(~in_fold(F.col("doc_id"), parts, fold)).select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    return docs.where("text is not null").select("doc_id").join(known, "doc_id").select("label").distinct().count() == 2
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")

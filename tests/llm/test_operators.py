@@ -262,3 +262,15 @@ def test_near_copies_equal_all_pairs(spark, docs, monkeypatch, stars, sampled):
     last = len(texts) - 1
     assert len({low[k] for k in range(last - 5, last - 1)}) == 4 and low[last] == last - 1
     assert similar.similar_groups(rows.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_rows_without_ids_or_labels(spark, tmp_path):
+    words = [" ".join(f"{p}{i}" for i in range(40)) for p in "abcde"]
+    rows = [(None, words[0]), (None, words[1]), (1, words[2]), (1, words[3]), (7, words[2] + " more"), (None, words[4]), (9, words[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR).collect()
+    want = [(None, words[0]), (None, words[1]), (1, words[2]), (1, words[3]), (9, words[4])]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(i), t) for i, t in want)
+    for case, labels in [("none", []), ("null", [(1, None)]), ("one kind", [(1, 0), (7, 0)])]:
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/{case}/labels.parquet")
+        assert corpus_pipeline.keep_quality(spark, docs, f"{tmp_path}/{case}").count() == len(rows)
