@@ -10,8 +10,9 @@ with the toxic pieces can save nothing worth counting and has distance 0. How ma
 of a document pass each threshold gives a calibrated logistic score.
 
 Dictionaries and calibration are trained in one task on a bounded sample of labelled
-documents: one half chooses the pieces, the other half calibrates, and the size of the
-dictionaries is the one of DICT_BYTES that calibrates best.
+documents. Each fold is scored with dictionaries of the other folds; these scores calibrate,
+and the size of the dictionaries is the one of DICT_BYTES that calibrates best; sizes above
+SURE are tried as long as they gain. The dictionaries in use are then built from all rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from .common import encoded, table, with_text_score
 from .labelled import in_fold, labelled_sample
 
 LEVEL = 19
-DICT_BYTES = (200, 400, 600, 1000)
+DICT_BYTES = (200, 400, 600, 1000, 2000, 4000, 8000, 16000)
+FOLDS, SURE = 2, 1000
 COMMON_BYTES, PRIMER = 600, bytes(range(128, 256))
 GRAM = 5
 #: Lengths in bytes of the word starts that are weighed besides whole words.
@@ -107,7 +109,7 @@ def toxic_pieces(toxic: list[str], ordinary: list[str]) -> list[bytes]:
         return with_it[p] * math.log(a / b)
 
     rare = [p for p in with_it if with_it[p] > 1 and without[p] * len(toxic) <= 0.05 * with_it[p] * len(ordinary)]
-    ranked = sorted(((-weight(p), p) for p in rare if weight(p) > 8))
+    ranked = sorted(((-weight(p), p) for p in rare if weight(p) > 0))
     chosen, text = [], b""
     for _, p in ranked:
         if p not in text:
@@ -142,32 +144,44 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return solve(every), loss
 
 
+class Vocabulary:
+    """The pieces of dictionaries that some labelled rows give, for any size."""
+
+    def __init__(self, rows: pd.DataFrame):
+        toxic, ordinary = rows["text"][rows["label"] == 1].tolist(), rows["text"][rows["label"] == 0].tolist()
+        frequent = Counter(b" " + w for t in ordinary for w in encoded(t).split())
+        by_use = [w for w, n in sorted(frequent.items(), key=lambda x: (-x[1] * (len(x[0]) - 2), x[0]))]
+        common, used = _joined(by_use, COMMON_BYTES)
+        self.common, self.rest, self.pieces = common + PRIMER, by_use[used:], toxic_pieces(toxic, ordinary)
+
+    def dictionaries(self, size: int) -> dict[str, bytes]:
+        own, _ = _joined(self.pieces, size)
+        other, _ = _joined(self.rest, len(own))
+        return {"toxic": own, "ordinary": other, "common": self.common}
+
+
 def train(rows: pd.DataFrame) -> dict[str, object]:
     """The model for rows (label, text, share)."""
     rows = rows.sort_values(["label", "text"]).reset_index(drop=True)
-    half = np.arange(len(rows)) % 2 == 0
-    toxic = rows["text"][half & (rows["label"] == 1)].tolist()
-    ordinary = rows["text"][half & (rows["label"] == 0)].tolist()
-    frequent = Counter(b" " + w for t in ordinary for w in encoded(t).split())
-    by_use = [w for w, n in sorted(frequent.items(), key=lambda x: (-x[1] * (len(x[0]) - 2), x[0]))]
-    common, used = _joined(by_use, COMMON_BYTES)
-    common += PRIMER
-    pieces, rest = toxic_pieces(toxic, ordinary), rows[~half]
-    y = rest["label"].to_numpy(np.float64)
-    drawn = rest.groupby("label")["text"].transform("count").to_numpy() / max(1, len(rest))
-    weight = rest["share"].to_numpy() / drawn
-    best: tuple[float, dict[str, object]] | None = None
+    fold = np.arange(len(rows)) % FOLDS
+    parts = [Vocabulary(rows[fold != k]) for k in range(FOLDS)]
+    y = rows["label"].to_numpy(np.float64)
+    drawn = rows.groupby("label")["text"].transform("count").to_numpy() / max(1, len(rows))
+    weight = rows["share"].to_numpy() / drawn
+    best: tuple[float, int, np.ndarray] | None = None
     for size in DICT_BYTES:
-        own, _ = _joined(pieces, size)
-        other, _ = _joined(by_use[used:], len(own))
-        distance = Distance(own, other, common)
-        x = np.array([distance.features(t) for t in rest["text"]]).reshape(len(rest), -1)
-        center, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(rest) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        x = np.zeros((len(rows), 2 * len(THRESHOLDS) + 1))
+        for k, part in enumerate(parts):
+            distance = Distance(**part.dictionaries(size))
+            for i in np.flatnonzero(fold == k):
+                x[i] = distance.features(rows["text"][i])
+        center, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         beta, loss = _logistic(np.column_stack([(x - center) / scale, np.ones(len(x))]), y, weight)
         if best is None or loss < best[0]:
-            line = np.concatenate([beta[:-1] / scale, [beta[-1] - (beta[:-1] * center / scale).sum()]])
-            best = loss, {"toxic": own, "ordinary": other, "common": common, "line": line.tolist()}
-    return best[1]
+            best = loss, size, np.concatenate([beta[:-1] / scale, [beta[-1] - (beta[:-1] * center / scale).sum()]])
+        elif size > SURE:
+            break
+    return {**Vocabulary(rows).dictionaries(best[1]), "line": best[2].tolist()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column) -> dict[str, object] | None:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -213,6 +214,17 @@ def test_classifier_on_held_out_labels(spark, module, label):
     assert (judged["predicted"] == judged[label]).mean() >= 0.9
 
 
+def test_toxic_words_of_few_documents_are_learned():
+    rng = random.Random(2)
+    plain = [" ".join(f"word{rng.randrange(300)}" for _ in range(40)) for _ in range(700)]
+    rare = ["".join(rng.choices("abcdefghijklmnopqrstuvxyz", k=9)) for _ in range(80)]  # each in 5 toxic texts
+    texts = [(1, f"{plain[k]} {rare[k % 80]}") for k in range(400)] + [(0, t) for t in plain[400:]]
+    model = toxicity.train(pd.DataFrame(texts, columns=["label", "text"]).assign(share=lambda r: np.where(r["label"] == 1, 4 / 7, 3 / 7)))
+    distance, line = toxicity.Distance(model["toxic"], model["ordinary"], model["common"]), np.array(model["line"])
+    found = [sum(distance.features(f"{t}{w}") @ line[:-1] + line[-1] >= 0 for t, w in zip(plain, words)) for words in ([f" {w}" for w in rare], [""] * 80)]
+    assert found[0] >= 72 and found[1] <= 8
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifier_without_labels_and_on_edge_texts(spark, docs, module):
     labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
