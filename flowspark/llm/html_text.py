@@ -3,7 +3,7 @@
 The pages of a host share a wrapper. One page of each host, of ordinary length, stands for
 it; every page's tree is aligned with that page's tree by simple tree matching. A text node
 that nearly all pages of the host fill with the same text belongs to the template; slots
-whose text varies hold content. Counts of (host, slot, text) over all pages decide, so that
+whose text varies hold content. Copies of one page count as one page. Counts of (host, slot, text) over all pages decide, so that
 a host with many pages is summed like any other and never gathered.
 
 Template text is left out of the content. Boilerplate that varies from page to page (menus,
@@ -29,7 +29,7 @@ from .url_filter import url_host
 
 #: Length of the page that stands for its host, about.
 ORDINARY = 4096
-#: A slot is template when this share of the host's pages has the same text in it, if the
+#: A slot is template when this share of the host's different pages has the same text in it, if the
 #: host shows at least so many different texts in some other slot.
 SHARE, LEAST_PAGES = 0.9, 5
 
@@ -193,24 +193,28 @@ def template_texts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts = Wrappers(), Counter()
         for batch in batches:
-            for host, page, wrapper in zip(batch["host"], batch["html"], batch["wrapper"], strict=True):
+            for host, page, wrapper, copies in zip(batch["host"], batch["html"], batch["wrapper"], batch["copies"], strict=True):
                 for node, slot in known.slots(parse(page), host, wrapper):
-                    counts[host, slot, _signature(node.text)] += 1
+                    counts[host, slot, _signature(node.text)] += 1 / copies
             if len(counts) > 100_000:
                 yield _counted(counts)
                 counts = Counter()
         if counts:
             yield _counted(counts)
 
-    seen = pages.where("html <> ''").join(wrappers, "host").select("host", "html", "wrapper")
-    texts = seen.mapInPandas(run, "host string, slot int, text long, n long")
-    texts = texts.groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
+    filled = pages.where("html <> ''").withColumn("_one", F.xxhash64("html")).withColumn("_two", F.xxhash64(F.lit(1), "html"))
+    different = keep(filled.groupBy("host", "_one", "_two").agg(F.count("*").alias("copies")))
+    repeated = keep(different.where("copies > 1"))
+    seen = filled.join(repeated, ["host", "_one", "_two"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    seen = seen.join(wrappers, "host").select("host", "html", "wrapper", "copies")
+    texts = seen.mapInPandas(run, "host string, slot int, text long, n double")
+    texts = keep(texts.groupBy("host", "slot", "text").agg(F.sum("n").alias("n")))
     # For each slot its most frequent text and how many there are; for each host its pages.
     slots = texts.groupBy("host", "slot").agg(F.max(F.struct("n", "text")).alias("top"), F.count("*").alias("kinds"))
-    sizes = pages.where("html <> ''").groupBy("host").agg(F.count("*").alias("pages"))
+    sizes = different.groupBy("host").agg(F.count("*").alias("pages"))
     variety = slots.groupBy("host").agg(F.max("kinds").alias("variety"))
     constant = slots.join(sizes, "host").join(variety, "host")
-    constant = constant.where((F.col("top.n") >= SHARE * F.col("pages")) & (F.col("variety") >= LEAST_PAGES))
+    constant = constant.where((F.col("top.n") >= SHARE * F.col("pages") - 1e-6) & (F.col("variety") >= LEAST_PAGES))
     return keep(constant.groupBy("host").agg(F.collect_list(F.struct("slot", F.col("top.text").alias("text"))).alias("template")))
 
 

@@ -184,6 +184,13 @@ def test_html_template_and_boilerplate(spark):
     assert got[50] == got[51] == "" and got[52] == "a\n\nb"  # a block ends where an aside stands
 
 
+def test_html_copies_count_as_one_page(spark):
+    page = "<html><body><p>Same line</p><div><h1>Head {i}</h1><p>Text {i}</p></div></body></html>"
+    rows = [(i, "http://h.org/", page.format(i=max(0, i - 94))) for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {max(0, i - 94)}\n\nText {max(0, i - 94)}" for i in range(100)}
+
+
 def test_nearest_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((1200, 16)).astype(np.float32)
