@@ -50,6 +50,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text of ASCII characters; null if it is null."""
+    step = "list_reduce(list_concat([xor(c, b) & 255], range(8)), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(c >> 8, {step})), 4294967295)"
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as an empty text."""
     words = F.split(F.coalesce(text, F.lit("")), BLANKS)

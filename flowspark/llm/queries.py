@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, contamination, html_text, mixing, quality, simhash, substrings, toxicity, url_filter
+from . import ann, chat, contamination, html_text, merkle, mixing, quality, simhash, substrings, toxicity, url_filter
 
 MODULES = {
     "op1_mix_sources": mixing,
@@ -19,6 +19,7 @@ MODULES = {
     "op8_nearest_neighbours": ann,
     "op9_decontamination": contamination,
     "op10_toxicity": toxicity,
+    "op11_merkle_manifest": merkle,
 }
 
 
