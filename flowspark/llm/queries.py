@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, contamination, html_text, merkle, mixing, quality, repair, simhash, substrings, toxicity, url_filter
+from . import ann, chat, contamination, html_text, merkle, mixing, personal, quality, repair, simhash, substrings, toxicity, url_filter
 
 MODULES = {
     "op1_mix_sources": mixing,
@@ -21,6 +21,7 @@ MODULES = {
     "op10_toxicity": toxicity,
     "op11_merkle_manifest": merkle,
     "op12_conversation_repair": repair,
+    "op13_personal_data": personal,
 }
 
 
