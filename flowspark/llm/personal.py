@@ -36,6 +36,8 @@ EMAIL, IP, CARD, PHONE = range(4)
 WIDTH, STEP = 96, 48
 #: Bound of the training sample: windows of each kind, and of windows without any span.
 PER_KIND, WITHOUT = 400, 2000
+#: Shares of the drawn windows that are cut to the bound by themselves first.
+SHARES = 64
 HIDDEN, EPOCHS, BATCH, RATE = 24, 8, 64, 0.02
 #: A stretch is added when its mean probability is at least this.
 ACCEPT, SHORTEST = 0.9, 6
@@ -396,10 +398,12 @@ def fit(docs: DataFrame) -> bytes | None:
     Which windows are taken depends on hashes of the windows alone. None where no text has a span.
     """
     drawn = docs.select("text").mapInPandas(_sampled, "kind int, place long, piece string, tags binary").dropDuplicates(["kind", "place"])
-    order = Window.partitionBy("kind").orderBy("place")
-    limit = F.when(F.col("kind") < 0, WITHOUT).otherwise(2 * PER_KIND)
-    drawn = drawn.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= max(WITHOUT, 2 * PER_KIND))
-    drawn = drawn.where(F.col("_turn") <= limit).drop("_turn")
+    # First among the windows of a share of the hashes, then among those that are left.
+    limit, most = F.when(F.col("kind") < 0, WITHOUT).otherwise(2 * PER_KIND), max(WITHOUT, 2 * PER_KIND)
+    for group in (["kind", F.pmod(F.col("place"), F.lit(SHARES))], ["kind"]):
+        order = Window.partitionBy(*group).orderBy("place")
+        drawn = drawn.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= most)
+        drawn = drawn.where(F.col("_turn") <= limit).drop("_turn")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches) or [pd.DataFrame({"kind": [], "place": [], "piece": [], "tags": []})], ignore_index=True)
