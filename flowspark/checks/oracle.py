@@ -353,6 +353,15 @@ _MERGE = {
                  is_stored, old_fee, first_fee, last_fee""",
 }
 
+_PLAYER_MERGE = {
+    "player_merge": """
+        SELECT p.*, id % 3 <> 0 AS stored, name AS old_name, CASE WHEN id % 2 = 0 THEN 'Old' ELSE nationality END AS old_nationality,
+               CASE WHEN p_size = 11 THEN 'Unknown' ELSE name END AS first_name,
+               CASE WHEN p_size < 20 AND p_size = 11 THEN 'NA II' WHEN p_size < 20 THEN name || ' II' ELSE name END AS last_name,
+               CAST(CASE WHEN p_size < 20 THEN 2 ELSE 1 END AS BIGINT) AS row_count
+        FROM players p""",
+}
+
 _ROW_COUNT_CHECKS = {
     "players": (10_000, 500_000),
     "clubs": (100, 5_000),
@@ -633,6 +642,74 @@ def oracle_sql() -> dict[str, str]:
             stored="""
                 SELECT player_id, valuation_date, arg_min(valuation_eur, event_id) AS old
                 FROM valuation_rows WHERE event_type IN ('purchase', 'view') GROUP BY ALL"""),
+        "merge_players": _with("""
+            SELECT CASE WHEN stored THEN id END AS id, CAST(id AS VARCHAR) AS transfermarkt_id,
+                   CASE WHEN stored THEN last_name ELSE first_name END AS name, date_of_birth, position,
+                   position_group, nationality, transfermarkt_url,
+                   CASE WHEN NOT stored THEN 'insert'
+                        WHEN old_nationality <> nationality OR old_name <> last_name THEN 'update'
+                        ELSE 'unchanged' END AS change, row_count
+            FROM player_merge""", **_PLAYER_MERGE),
+        "new_player_ids": _with("""
+            SELECT (SELECT max(id) FROM player_merge WHERE stored) + 1 AS first_id,
+                   (SELECT max(id) FROM player_merge WHERE stored) + count(*) AS last_id,
+                   count(*) AS row_count, count(*) AS distinct_ids
+            FROM player_merge WHERE NOT stored""", **_PLAYER_MERGE),
+        "merge_clubs": _with("""
+            SELECT CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey AS BIGINT) END AS id,
+                   CAST(c_custkey AS VARCHAR) AS transfermarkt_id, raw_name AS name,
+                   CASE WHEN c_custkey % 4 <> 0 THEN (c_nationkey + 1) % 25 ELSE raw_country END AS country_id,
+                   league AS current_league_id,
+                   CASE WHEN c_custkey % 4 = 0 THEN 'insert'
+                        WHEN raw_name <> c_name OR league IS NOT NULL THEN 'update' ELSE 'unchanged' END AS change,
+                   CAST(1 AS BIGINT) AS row_count
+            FROM raw_clubs""",
+            raw_clubs="""
+                SELECT c.*, CASE WHEN c_acctbal < 0 AND c_mktsegment = 'BUILDING' THEN 'AS Monaco'
+                                 WHEN c_acctbal < 0 AND c_mktsegment = 'FURNITURE' THEN 'Unknown' ELSE c_name END AS raw_name,
+                       CASE WHEN (c_acctbal < 0 AND c_mktsegment = 'BUILDING') OR c_mktsegment = 'MACHINERY'
+                                 OR n_regionkey = 3 THEN NULL ELSE c_nationkey END AS raw_country,
+                       CASE WHEN c_mktsegment <> 'MACHINERY'
+                            THEN (SELECT r_regionkey FROM region WHERE r_regionkey = c_nationkey) END AS league
+                FROM customer c JOIN nation ON c_nationkey = n_nationkey"""),
+        "country_flows_by_change": _with("""
+            SELECT fc.country_id AS from_country_id, tc.country_id AS to_country_id, transfer_window,
+                   CAST(coalesce(sum(fee_eur) FILTER (NOT fee_is_loan), 0) AS BIGINT) AS total_fee_eur,
+                   count(*) FILTER (NOT fee_is_loan) AS transfer_count, count(*) FILTER (fee_is_loan) AS loan_count
+            FROM merged t JOIN clubs fc ON t.from_club_id = fc.id JOIN clubs tc ON t.to_club_id = tc.id
+            GROUP BY ALL""", **_MERGE),
+        "club_summaries_by_change": _with("""
+            SELECT club_id, transfer_window,
+                   CAST(coalesce(sum(fee_eur) FILTER (buys AND NOT fee_is_loan), 0) AS BIGINT) AS total_spent_eur,
+                   CAST(coalesce(sum(fee_eur) FILTER (NOT buys AND NOT fee_is_loan), 0) AS BIGINT)
+                     AS total_received_eur,
+                   count(*) FILTER (buys) AS players_bought, count(*) FILTER (NOT buys) AS players_sold
+            FROM (SELECT to_club_id AS club_id, *, TRUE AS buys FROM merged
+                  UNION ALL SELECT from_club_id, *, FALSE FROM merged) GROUP BY ALL""", **_MERGE),
+        "load_counts": _with("""
+            SELECT 'transfers' AS table_name, outcome, count(*) AS row_count FROM judged GROUP BY ALL
+            UNION ALL
+            SELECT 'player_valuations',
+                   CASE WHEN event_type = 'error' THEN 'missing_player'
+                        WHEN event_type = 'signup' THEN 'missing_value'
+                        WHEN event_type = 'click' AND value < 10 THEN 'missing_date'
+                        WHEN event_type = 'click' AND value < 20 THEN 'unread_date'
+                        WHEN p.id IS NULL THEN 'unknown_player' ELSE 'accepted' END, count(*)
+            FROM events LEFT JOIN players p ON p.id = user_id GROUP BY ALL"""),
+        "load_log_freshness": _with("""
+            SELECT DATE '1999-04-01' AS last_ingestion_at, count(*) AS records_processed,
+                   'sample' AS source_commit_hash, 60.5::DOUBLE AS age_days, TRUE AS is_stale
+            FROM players WHERE id % 3 <> 0"""),
+        "publish_versions": _with("""
+            SELECT player_id, valuation_date, 2 AS loads,
+                   valuation_eur + (year(valuation_date) = (SELECT max(year(valuation_date)) FROM valuations))::BIGINT
+                     AS valuation_eur
+            FROM valuations"""),
+        "csv_scan_counts": _with("""
+            SELECT transfer_season, count(*) AS row_count, count(*) AS ordinals, CAST(0 AS BIGINT) AS malformed,
+                   count(*) FILTER (player_id <> '') AS with_player,
+                   CAST(sum(length(transfer_fee)) AS BIGINT) AS fee_characters
+            FROM raw_transfers GROUP BY ALL"""),
         "country_iso_codes": "WITH RECURSIVE " + _with("""
             SELECT CAST((SELECT max(id) FROM countries) + place AS INTEGER) AS id, name, code AS iso_code,
                    CAST(0 AS DECIMAL(9,6)) AS latitude, CAST(0 AS DECIMAL(9,6)) AS longitude, FALSE AS in_scope
@@ -658,6 +735,35 @@ def oracle_sql() -> dict[str, str]:
             SELECT player_id, count(*) AS row_count FROM valuations
             WHERE player_id NOT IN (SELECT id FROM players WHERE p_size <> 7) GROUP BY ALL"""),
         "dq_reconciliation": _with(_RECONCILIATION),
+        "dq_reconciliation_cases": _with("""
+            SELECT 'equal' AS "case", 'country_flow_reconciliation' AS name, 'warning' AS severity, TRUE AS passed,
+                   'Flow aggregate equals the transfers' AS message
+            UNION ALL
+            SELECT 'differs', 'country_flow_reconciliation', 'warning', FALSE,
+                   'fee: stored ' || fee || ', transfers ' || fee || '; permanent: stored ' || permanent || ', transfers '
+                   || permanent || '; loan: stored ' || (loan + more) || ', transfers ' || loan
+            FROM (SELECT CAST(sum(fee_eur) FILTER (NOT fee_is_loan) AS BIGINT) AS fee,
+                         count(*) FILTER (NOT fee_is_loan) AS permanent, count(*) FILTER (fee_is_loan) AS loan
+                  FROM transfers),
+                 (SELECT count(*) AS more FROM flows_by_window WHERE from_country_id = 3)
+            UNION ALL
+            SELECT 'not_built', 'country_flow_reconciliation', 'info', TRUE, 'Flow aggregate is empty, not compared'"""),
+        "dq_details": _with(f"""
+            SELECT name, n = 0 AS passed, 'count' AS detail, CAST(n AS VARCHAR) AS value FROM (
+                SELECT 'no_far_future_transfers' AS name, count(*) AS n FROM transfers
+                WHERE transfer_date > {AS_OF} - 1500
+                UNION ALL SELECT 'no_outlier_fees', count(*) FROM transfers WHERE fee_eur > 4000000
+                UNION ALL SELECT 'no_orphan_transfers', count(*) FROM transfers
+                WHERE player_id NOT IN (SELECT id FROM players WHERE p_size <> 7))
+            UNION ALL
+            SELECT 'transfer_window_format', FALSE, 'bad_values', string_agg(w, ', ' ORDER BY w)
+            FROM (SELECT DISTINCT 'Q2 ' || start_year AS w FROM transfers WHERE fee_is_loan ORDER BY w LIMIT 10)
+            UNION ALL
+            SELECT 'fee_distribution_not_degenerate', FALSE, 'distinct_fees',
+                   CAST((SELECT count(DISTINCT fee_eur) FROM transfers) AS VARCHAR)
+            UNION ALL
+            SELECT 'fee_distribution_not_degenerate', FALSE, 'transfers',
+                   CAST((SELECT count(*) FROM transfers) AS VARCHAR)"""),
         "dq_bad_windows": _with("""
             SELECT DISTINCT 'Q2 ' || start_year AS transfer_window FROM transfers WHERE fee_is_loan"""),
         "dq_duplicate_keys": """

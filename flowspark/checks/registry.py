@@ -1,9 +1,11 @@
 """Every registered query: name to (spark, sf_dir) -> DataFrame."""
 
 from collections.abc import Callable
-from datetime import date
+from dataclasses import replace
+from datetime import date, datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.checks.sample import Sample
@@ -13,6 +15,9 @@ from flowspark.operators import filters as flt
 from flowspark.operators.filters import TransferFilters
 from flowspark.operators.lookups import with_player
 from flowspark.plans import clubs, countries, flows, load, players, quality, windows
+from flowspark.sources import contract
+from flowspark.sources.snapshot import MALFORMED, ORDINAL, read_snapshot
+from flowspark.sources.store import freshness
 
 # Parameters, the same in the SQL.
 COUNTRY, COUNTERPART = 3, 7
@@ -417,6 +422,123 @@ def club_country_resolution(s: Sample) -> DataFrame:
     return s.club_countries.select("transfermarkt_id", "name", "country_name")
 
 
+@_query
+def merge_players(s: Sample) -> DataFrame:
+    merged = s.staged("merged", load.merge_players(s.stored_players, s.raw_players))
+    numbered = load.number_new(merged, s.stored_players)
+    known = F.when(F.col(merge.CHANGE) != "insert", F.col("id"))
+    return numbered.select(
+        known.alias("id"), "transfermarkt_id", *load.PLAYER_VALUES,
+        F.col(merge.CHANGE).alias("change"), F.col(merge.ROWS).alias("row_count"),
+    )
+
+
+@_query
+def new_player_ids(s: Sample) -> DataFrame:
+    merged = s.staged("merged", load.merge_players(s.stored_players, s.raw_players))
+    fresh = load.number_new(merged, s.stored_players).filter(F.col(merge.CHANGE) == "insert")
+    return fresh.agg(
+        F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+        F.count("*").alias("row_count"), F.countDistinct("id").alias("distinct_ids"),
+    )
+
+
+@_query
+def merge_clubs(s: Sample) -> DataFrame:
+    resolved = resolve.club_keys(s.club_countries, s.countries, s.external_leagues)
+    merged = s.staged("merged", load.merge_clubs(s.stored_clubs, resolved))
+    numbered = load.number_new(merged, s.stored_clubs)
+    known = F.when(F.col(merge.CHANGE) != "insert", F.col("id"))
+    return numbered.select(
+        known.alias("id"), "transfermarkt_id", "name", "country_id", "current_league_id",
+        F.col(merge.CHANGE).alias("change"), F.col(merge.ROWS).alias("row_count"),
+    )
+
+
+def _changes(s: Sample) -> DataFrame:
+    """Staged changes of the transfers, with the values that updates replaced."""
+    merged = s.staged("merged", load.merge_transfers(s.stored_transfers, s.transfer_snapshot))
+    return aggregates.signed_changes(merged.filter(F.col(merge.CHANGE).isin("insert", "update")))
+
+
+@_query
+def country_flows_by_change(s: Sample) -> DataFrame:
+    """Stored flows with the changes of a merge applied, instead of a rebuild."""
+    stored = aggregates.country_flows_by_window(s.stored_transfers, s.clubs)
+    deltas = aggregates.flow_deltas(_changes(s), s.clubs)
+    return aggregates.with_deltas(stored, deltas, aggregates.FLOW_MEASURES, aggregates.FLOW_COUNTS).drop("window_key")
+
+
+@_query
+def club_summaries_by_change(s: Sample) -> DataFrame:
+    stored = aggregates.club_summaries_by_window(s.stored_transfers)
+    deltas = aggregates.club_deltas(_changes(s))
+    return aggregates.with_deltas(stored, deltas, aggregates.CLUB_MEASURES, aggregates.CLUB_COUNTS).drop("window_key")
+
+
+@_query
+def load_counts(s: Sample) -> DataFrame:
+    """Outcomes of both facts, observed while the resolved rows are staged."""
+    transfers = resolve.resolve_transfers(
+        resolve.transfer_rows(s.raw_transfers, "_ordinal"), s.external_players, s.external_clubs, "_ordinal"
+    )
+    valuations = resolve.resolve_valuations(
+        resolve.valuation_rows(s.raw_valuations, "_ordinal"), s.external_players, "_ordinal"
+    )
+    rows = []
+    for table, resolved, outcomes in (
+        ("transfers", transfers, resolve.TRANSFER_OUTCOMES), ("player_valuations", valuations, resolve.VALUATION_OUTCOMES)
+    ):
+        _, counts = load.stage_counted(s.staged, table, resolved, outcomes)
+        rows += [(table, outcome, n) for outcome, n in counts.items()]
+    return s.spark.createDataFrame(rows, "table_name string, outcome string, row_count long")
+
+
+@_query
+def load_log_freshness(s: Sample) -> DataFrame:
+    """The load record of a published table: rows observed at the write, and its age."""
+    store, seen = s.new_store(), Observation()
+    store.write("players", "v1", s.stored_players, seen, [F.count("*").alias("rows")])
+    at = datetime(1999, 4, 1, 12, tzinfo=timezone.utc)
+    store.publish({"players": "v1"}, seen.get["rows"], "sample", at, counts={"players": seen.get["rows"]})
+    fresh = freshness(store.latest(), datetime(1999, 6, 1, tzinfo=timezone.utc))
+    return fresh.withColumn("last_ingestion_at", F.col("last_ingestion_at").cast("date"))
+
+
+@_query
+def publish_versions(s: Sample) -> DataFrame:
+    """Facts in parts: a second version that writes two years only and takes over the others."""
+    store = s.new_store()
+    store.write("player_valuations", "v1", s.player_valuations.drop("event_id"))
+    store.publish({"player_valuations": "v1"}, 0, None, datetime(1999, 1, 1, tzinfo=timezone.utc))
+    parts = {p.part: p for p in store.parts("player_valuations", "v1")}
+    last = sorted(parts)[-1]
+    raised = store.read("player_valuations", "v1", [last]).withColumn("valuation_eur", F.col("valuation_eur") + 1)
+    store.write("player_valuations", "v2", raised)
+    parts |= {p.part: p for p in store.parts("player_valuations", "v2")}
+    store.set_parts("player_valuations", "v2", list(parts.values()))
+    store.publish({"player_valuations": "v2"}, 0, None, datetime(1999, 2, 1, tzinfo=timezone.utc), based_on=1)
+    return store.read_current("player_valuations").withColumn("loads", F.lit(store.load_log().count()))
+
+
+@_query
+def csv_scan_counts(s: Sample) -> DataFrame:
+    """Raw transfers written as CSV part files and read back under the contract."""
+    folder = s.shared_folder()
+    wanted = sorted(contract.REQUIRED_COLUMNS["transfers.csv"])
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    s.raw_transfers.select(*wanted).write.options(**plain).csv(f"{folder}/transfers.csv")
+    rows = read_snapshot(s.spark, folder, "transfers.csv")
+    fee = F.coalesce("transfer_fee", F.lit(""))
+    return rows.groupBy(F.coalesce("transfer_season", F.lit("")).alias("transfer_season")).agg(
+        F.count("*").alias("row_count"),
+        F.countDistinct(ORDINAL).alias("ordinals"),
+        F.count_if(MALFORMED).alias("malformed"),
+        F.count_if(text.id_text(F.col("player_id")).isNotNull()).alias("with_player"),
+        F.sum(F.length(fee)).alias("fee_characters"),
+    )
+
+
 # --- quality ---------------------------------------------------------------------
 
 _RESULT = ("name", "severity", "passed", "message")
@@ -442,6 +564,32 @@ def dq_reconciliation(s: Sample) -> DataFrame:
     return quality.reconciliation(s.tables).select(*_RESULT)
 
 
+@_query
+def dq_reconciliation_cases(s: Sample) -> DataFrame:
+    """Stored flows that equal the transfers, that differ from them, and that are not built."""
+    stored = s.staged("flows", aggregates.country_flows_by_window(s.transfers, s.clubs))
+    more = F.when(F.col("from_country_id") == COUNTRY, F.col("loan_count") + 1).otherwise(F.col("loan_count"))
+    cases = {"equal": stored, "differs": stored.withColumn("loan_count", more), "not_built": stored.limit(0)}
+    found = [
+        quality.reconciliation(replace(s.tables, country_transfer_flows=flows)).select(F.lit(case).alias("case"), *_RESULT)
+        for case, flows in cases.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@_query
+def dq_details(s: Sample) -> DataFrame:
+    """The details of the checks of dates, fees, windows and orphans, with limits that find some."""
+    tables = replace(s.tables, transfers=s.odd_windows, players=s.players_without_size_7)
+    limits = quality.Limits(future_days=-1500, outlier_fee_eur=40_000, distinct_fees=10_000_000)
+    report = quality.quality_report(tables, AS_OF, limits)
+    chosen = report.filter(F.col("name").isin(
+        "no_far_future_transfers", "no_outlier_fees", "transfer_window_format", "no_orphan_transfers",
+        "fee_distribution_not_degenerate",
+    ))
+    return chosen.select("name", "passed", F.explode("details").alias("detail", "value"))
+
+
 @_query
 def dq_bad_windows(s: Sample) -> DataFrame:
     return quality.bad_windows(s.odd_windows)

@@ -326,12 +326,22 @@ class Sample:
         by_competition = resolve.competition_countries(self.nation_competitions, "_ordinal")
         return resolve.club_rows(self.raw_clubs, by_competition, "_ordinal")
 
-    def staged(self, name: str, rows: DataFrame) -> DataFrame:
-        """Write rows to the folder that all executors share, and read them."""
+    def shared_folder(self) -> str:
+        """A new folder that all executors see."""
         base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
-        if not base:  # local runs
+        if not base:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="flowspark-stage-")
-        return TableStore(self.spark, base).stage(name, uuid.uuid4().hex, rows)
+        return f"{base.rstrip('/')}/sample-{uuid.uuid4().hex}"
+
+    def new_store(self) -> TableStore:
+        """An empty store in a shared folder."""
+        return TableStore(self.spark, self.shared_folder())
+
+    def staged(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write rows to the folder that all executors share, and read them."""
+        return self.new_store().stage(name, "sample", rows)
 
     @cached_property
     def nation_competitions(self) -> DataFrame:
@@ -397,3 +407,49 @@ class Sample:
         return self.transfers.withColumn(
             "transfer_window", F.when(F.col("fee_is_loan"), odd).otherwise(F.col("transfer_window"))
         )
+
+    @cached_property
+    def raw_players(self) -> DataFrame:
+        """Parts as raw players; small ones come again, later and under another name."""
+        key, size = F.col("p_partkey"), F.col("p_size")
+        plays = F.create_map(*[F.lit(x) for pair in _PLAYS.items() for x in pair])
+        rows = self.raw("part").select(
+            F.concat(key.cast("string"), F.lit(".0")).alias("player_id"),
+            F.when(size == 11, "NA").otherwise(F.col("p_name")).alias("name"),
+            F.date_add(F.lit("1965-01-01").cast("date"), ((key * 37) % 5000).cast("int")).cast("string").alias("date_of_birth"),
+            F.when(size % 10 != 0, F.try_element_at(plays, F.col("p_type"))).alias("position"),
+            F.col("p_type").alias("sub_position"),
+            F.col("p_brand").alias("country_of_citizenship"),
+            F.concat(F.lit("/p/"), key.cast("string")).alias("url"),
+            (key * 2).alias("_ordinal"),
+            size.alias("_size"),
+        )
+        again = rows.filter("_size < 20").withColumns(
+            {"name": F.concat("name", F.lit(" II")), "_ordinal": F.col("_ordinal") + 1}
+        )
+        return rows.unionByName(again).drop("_size")
+
+    @cached_property
+    def stored_players(self) -> DataFrame:
+        """Two thirds of the players, as a load would have stored them; every second one of another nation."""
+        old = F.when(F.col("id") % 2 == 0, F.lit("Old")).otherwise(F.col("nationality"))
+        rows = self.players.filter("id % 3 <> 0").withColumn("nationality", old)
+        return rows.withColumn("transfermarkt_id", F.col("id").cast("string"))
+
+    @cached_property
+    def external_leagues(self) -> DataFrame:
+        """Regions as leagues that stand for the competition of one nation each."""
+        return self.leagues.withColumn("transfermarkt_id", F.concat(F.lit("L"), F.col("id").cast("string")))
+
+    @cached_property
+    def stored_clubs(self) -> DataFrame:
+        """Three quarters of the customers as stored clubs, each in another country than the raw one."""
+        key = F.col("c_custkey")
+        return self.raw("customer").filter("c_custkey % 4 <> 0").select(
+            key.cast("bigint").alias("id"),
+            F.col("c_name").alias("name"),
+            ((F.col("c_nationkey") + 1) % 25).cast("int").alias("country_id"),
+            F.lit(None).cast("int").alias("current_league_id"),
+            key.cast("string").alias("transfermarkt_id"),
+            F.lit(None).cast("string").alias("transfermarkt_url"),
+        )

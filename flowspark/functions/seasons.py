@@ -83,6 +83,11 @@ def window_key(window: Column, order: str = "label") -> Column:
     return F.coalesce(year * 2 + window.startswith(later).cast("int"), F.lit(0))
 
 
+def dated_window_key(day: Column) -> Column:
+    """The window_key of a dated move, told by its date alone; -1 without a date."""
+    return F.coalesce(F.year(day) * 2 + (F.month(day) < 6).cast("int"), F.lit(-1))
+
+
 def event_year(day: Column, season: Column) -> Column:
     """Year text of a dated event, else the first part of its season."""
     return F.coalesce(F.year(day).cast("string"), F.split(season, "-")[0])

@@ -7,10 +7,13 @@ costs one row per task, not one task.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.functions.seasons import window_key
 from flowspark.operators.lookups import with_both_clubs
 
 FLOW_MEASURES = ("total_fee_eur", "transfer_count", "loan_count")
+FLOW_COUNTS = ("transfer_count", "loan_count")
 CLUB_MEASURES = ("total_spent_eur", "total_received_eur", "players_bought", "players_sold")
+CLUB_COUNTS = ("players_bought", "players_sold")
 
 
 def _zero_if_null(c: Column) -> Column:
@@ -89,6 +92,62 @@ def club_summaries_by_window(transfers: DataFrame) -> DataFrame:
     return legs.groupBy("club_id", *window).agg(*sums(CLUB_MEASURES))
 
 
+# --- kept by change --------------------------------------------------------------
+
+
+def signed_changes(changes: DataFrame) -> DataFrame:
+    """Inserted and updated transfers as rows with a sign: new values count 1, replaced ones -1.
+
+    `changes` has the key and the new values of each transfer, and in _old the values that an
+    update replaced.
+    """
+    ends, values = ("from_club_id", "to_club_id"), ("fee_eur", "fee_is_loan", "transfer_window")
+
+    def row(sign: int, value) -> Column:
+        return F.struct(F.lit(sign).alias("sign"), *[F.col(c) for c in ends], *[value(v).alias(v) for v in values])
+
+    both = changes.select(F.inline(F.array(row(1, F.col), row(-1, lambda v: F.col(f"_old.{v}")))))
+    signed = both.filter("sign = 1 or transfer_window is not null")
+    return signed.withColumn("window_key", window_key(F.col("transfer_window")))
+
+
+def flow_deltas(signed: DataFrame, clubs: DataFrame) -> DataFrame:
+    """What signed transfers add to the flows of their country pairs and windows."""
+    sign, loan = F.col("sign"), F.col("fee_is_loan")
+    return (
+        with_both_clubs(signed, clubs, "country_id")
+        .groupBy("from_country_id", "to_country_id", "transfer_window", "window_key")
+        .agg(
+            F.sum(sign * permanent_fee()).alias("total_fee_eur"),
+            F.sum(F.when(~loan, sign).otherwise(0)).alias("transfer_count"),
+            F.sum(F.when(loan, sign).otherwise(0)).alias("loan_count"),
+        )
+    )
+
+
+def club_deltas(signed: DataFrame) -> DataFrame:
+    """What signed transfers add to the summaries of their clubs and windows."""
+    zero, sign = F.lit(0).cast("bigint"), F.col("sign").cast("bigint")
+    fee, when = F.col("sign") * permanent_fee(), [F.col("transfer_window"), F.col("window_key")]
+    names = ("club_id", "transfer_window", "window_key", *CLUB_MEASURES)
+    legs = both_sides(
+        signed,
+        dict(zip(names, (F.col("to_club_id"), *when, fee, zero, sign, zero))),
+        dict(zip(names, (F.col("from_club_id"), *when, zero, fee, zero, sign))),
+    )
+    return legs.groupBy("club_id", "transfer_window", "window_key").agg(*sums(CLUB_MEASURES))
+
+
+def with_deltas(stored: DataFrame, deltas: DataFrame, measures: tuple[str, ...], counts: tuple[str, ...]) -> DataFrame:
+    """Stored sums plus deltas. A group that no transfer is left in goes; a rebuild would not have it."""
+    key = [c for c in stored.columns if c not in measures]
+    merged = stored.select(*key, *measures).unionByName(deltas.select(*key, *measures)).groupBy(*key).agg(*sums(measures))
+    left = F.lit(0)
+    for c in counts:
+        left = left + F.col(c)
+    return merged.filter(left > 0)
+
+
 def net_spend(flows: DataFrame) -> DataFrame:
     """Spent, received and net per country, from country flows.
 

@@ -6,12 +6,16 @@ window limit, which Spark also applies before it). A third of a snapshot may be
 copies of one key without a slow task.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHANGE = "_change"
 ROWS = "_rows"
+CONFLICT = "_conflict"
+OLD = "_old"
 
 
 def _pack(columns: list[str]) -> Column:
@@ -29,11 +33,12 @@ def first_per_key(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:
 
 
 def _summarise_last(snapshot: DataFrame, key: list[str], values: list[str], ordinal: str) -> DataFrame:
-    """Per key: first and last value, and how many rows there were."""
+    """Per key: first and last value, how many rows there were, and whether they differ."""
     return snapshot.groupBy(*key).agg(
         F.min_by(_pack(values), F.col(ordinal)).alias("_first"),
         F.max_by(_pack(values), F.col(ordinal)).alias("_last"),
         F.count("*").alias(ROWS),
+        (~F.min(_pack(values)).eqNullSafe(F.max(_pack(values)))).alias(CONFLICT),
     )
 
 
@@ -44,20 +49,24 @@ def _summarise_differing(
 
     Those two are enough to find the last value that differs from any stored value:
     it is the last one, unless that equals the stored value, and then the other.
+
+    The different values of the keys are found once. Heads and tails both read all
+    columns of that shuffle, and neither filters it, so that Spark plans it, and the
+    snapshot below it, once.
     """
-    distinct = snapshot.groupBy(*key, *values).agg(
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in key])
+    distinct = snapshot.filter(known).groupBy(*key, *values).agg(
         F.min(ordinal).alias("_min"), F.max(ordinal).alias("_max"), F.count("*").alias("_n")
     )
     heads = distinct.groupBy(*key).agg(
-        F.min_by(_pack(values), F.col("_min")).alias("_first"), F.sum("_n").alias(ROWS)
+        F.min_by(_pack(values), F.col("_min")).alias("_first"),
+        F.max_by(_pack(values), F.col("_max")).alias("_last"),
+        F.sum("_n").alias(ROWS),
     )
     newest = Window.partitionBy(*key).orderBy(F.col("_max").desc())
-    ranked = distinct.withColumn("_rank", F.row_number().over(newest)).filter("_rank <= 2")
-    tails = ranked.groupBy(*key).agg(
-        F.max(F.when(F.col("_rank") == 1, _pack(values))).alias("_last"),
-        F.max(F.when(F.col("_rank") == 2, _pack(values))).alias("_previous"),
-    )
-    return heads.join(tails, key)
+    second = distinct.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 2")
+    tails = second.groupBy(*key).agg(F.max(_pack([*values, "_min", "_max", "_n"])).alias("_previous"))
+    return heads.join(tails, key, "left").withColumn(CONFLICT, F.col("_previous").isNotNull())
 
 
 def _null_flag(column: str) -> str:
@@ -87,6 +96,7 @@ def merge_snapshot(
     keep: tuple[str, ...] = (),
     on_existing: str = "last_differing",
     nullable: tuple[str, ...] = (),
+    details: bool = False,
 ) -> DataFrame:
     """Merge a snapshot into the current table.
 
@@ -98,7 +108,9 @@ def merge_snapshot(
     Further columns of `current` (such as ids) are carried and null on new rows.
 
     Adds _change ('insert', 'update', 'unchanged', or 'kept' for keys the snapshot
-    lacks) and _rows, the number of snapshot rows of the key.
+    lacks) and _rows, the number of snapshot rows of the key. With `details` also _old,
+    the values that an update replaces, and _conflict: the snapshot's rows of the key
+    differ, so that merging the same snapshot again may change the key again.
     """
     compared = [v for v in values if v not in keep]
     carried = [c for c in current.columns if c not in key + values]
@@ -112,9 +124,8 @@ def merge_snapshot(
         same_as_stored = F.lit(True)
         for v in compared:
             same_as_stored &= F.col(f"_last.{v}").eqNullSafe(F.col(f"_stored.{v}"))
-        incoming = F.when(
-            same_as_stored & F.col("_previous").isNotNull(), F.col("_previous")
-        ).otherwise(F.col("_last"))
+        previous = F.struct(*[F.col(f"_previous.{v}").alias(v) for v in values])
+        incoming = F.when(same_as_stored & F.col("_previous").isNotNull(), previous).otherwise(F.col("_last"))
     else:
         raise ValueError(f"unknown on_existing: {on_existing!r}")
 
@@ -140,12 +151,17 @@ def merge_snapshot(
     def key_part(k: str) -> Column:
         return F.when(~F.col(_null_flag(k)), F.col(k)).alias(k) if k in nullable else F.col(k)
 
+    more = [
+        F.when(change == "update", F.col("_stored")).alias(OLD),
+        F.coalesce(F.col(CONFLICT), F.lit(False)).alias(CONFLICT),
+    ]
     return joined.select(
         *carried,
         *[key_part(k) for k in key],
         *[value(v) for v in values],
         change.alias(CHANGE),
         F.coalesce(F.col(ROWS), F.lit(0)).alias(ROWS),
+        *(more if details else []),
     )
 
 

@@ -390,13 +390,33 @@ def accepted(resolved: DataFrame) -> DataFrame:
     return resolved.filter(F.col(REASON).isNull()).drop(REASON, UNREAD_DATE)
 
 
-def outcome_counts(resolved: DataFrame) -> DataFrame:
-    """Rows per outcome: the reject reason, or 'accepted'.
+#: Every outcome of a resolved row, in the order that reasons are given.
+TRANSFER_OUTCOMES = (
+    "malformed_row", "excluded_fee", "missing_player", "missing_club", "no_window_or_season",
+    "unknown_player", "unknown_club", "accepted_unread_date", "accepted",
+)
+VALUATION_OUTCOMES = (
+    "malformed_row", "missing_player", "missing_value", "missing_date", "unread_date", "unknown_player", "accepted",
+)
+
+
+def outcome(columns: list[str]) -> Column:
+    """The reject reason of a resolved row, or 'accepted'.
 
     A transfer whose date text states no date is accepted as undated, under its own name.
     """
-    outcome = F.coalesce(REASON, F.lit("accepted"))
-    if UNREAD_DATE in resolved.columns:
+    if UNREAD_DATE in columns:
         unread = F.when(F.col(UNREAD_DATE), "accepted_unread_date")
-        outcome = F.coalesce(REASON, unread, F.lit("accepted"))
-    return resolved.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("row_count"))
+        return F.coalesce(REASON, unread, F.lit("accepted"))
+    return F.coalesce(REASON, F.lit("accepted"))
+
+
+def outcome_metrics(columns: list[str], outcomes: tuple[str, ...]) -> list[Column]:
+    """Row counts by outcome as aggregates, to be observed while the rows are written."""
+    name = outcome(columns)
+    return [F.count("*").alias("rows"), *[F.count_if(name == o).alias(o) for o in outcomes]]
+
+
+def outcome_counts(resolved: DataFrame) -> DataFrame:
+    """Rows per outcome."""
+    return resolved.groupBy(outcome(resolved.columns).alias("outcome")).agg(F.count("*").alias("row_count"))

@@ -379,3 +379,124 @@ def test_country_names_and_codes(spark):
     mapped = {r.competition_id: r.country_name
               for r in resolve.competition_countries(competitions, "o").collect()}
     assert mapped["c2"] == "Other" and mapped["c1"] == "South Korea" and "c8" not in mapped
+
+
+def rebuilt_equals_stored(store, version):
+    from flowspark.operators import aggregates
+
+    transfers, clubs = store.read("transfers", version), store.read("clubs", version)
+    for table, rebuilt in (("country_transfer_flows", aggregates.country_flows_by_window(transfers, clubs)),
+                           ("club_transfer_summaries", aggregates.club_summaries_by_window(transfers))):
+        stored = store.read(table, version)
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, rebuilt.select(*stored.columns).collect())), table
+
+
+def test_load_writes_only_what_changed(spark, store, tmp_path):
+    """An unchanged snapshot writes nothing, a changed row its own period, aggregates follow by change."""
+    one = load.run_load(store, snapshot(tmp_path / "one"), "1", AT)
+    assert {p.part for p in store.parts("transfers", one.version)} == {2021 * 2, 2022 * 2 + 1, 2020 * 2, -1}
+    assert one.counts["country_transfer_flows"] == 5 and one.counts["transfers"] == 5
+    rebuilt_equals_stored(store, one.version)
+
+    two = load.run_load(store, snapshot(tmp_path / "two"), "2", AT)
+    for table in ("countries", "leagues", "clubs", "players", "transfers", "player_valuations",
+                  "country_transfer_flows", "club_transfer_summaries"):
+        assert store.written(table, two.version) == [], table
+        assert store.parts(table, two.version) == store.parts(table, one.version)
+    assert two.counts == one.counts and two.records == one.records
+
+    rows = [dict(r) for r in TRANSFERS]
+    rows[0]["transfer_fee"] = "€2.5m"          # a new fee in summer 2021
+    rows[3]["transfer_season"] = "17/18"       # an undated transfer moves from summer 2019 to summer 2017
+    rows[1:2] = []                             # winter 2022 is missing now
+    rows.append(transfer("7001", "2020-08-30", "20/21", "81", "82", "7"))
+    three = load.run_load(store, snapshot(tmp_path / "three", transfers=rows), "3", AT)
+    assert {p.part for p in store.written("transfers", three.version)} == {2021 * 2, 2020 * 2, -1}
+    assert store.written("players", three.version) == store.written("player_valuations", three.version) == []
+    assert {p.part for p in store.written("country_transfer_flows", three.version)} == {4042, 4040, 4034}
+    assert {p.part for p in store.parts("country_transfer_flows", three.version)} == {4042, 4045, 4040, 4034, 4036}
+    assert three.counts["transfers"] == 6 and three.counts["transfers.processed"] == 5
+    outcomes = {r.change: r.key_count for r in merge.change_counts(store.outcomes("transfers", three.version)).collect()}
+    assert outcomes == {"insert": 1, "update": 2, "unchanged": 2, "kept": 1}
+    rebuilt_equals_stored(store, three.version)
+    windows = {r.transfer_window for r in three.tables.transfers.collect()}
+    assert windows == {"Summer 2021", "Winter 2022", "Summer 2020", "Summer 2017", "Summer 2018"}
+
+    from datetime import timedelta
+
+    before = transfer_set(load.current_tables(store))
+    gone = store.retain(loads=1, older_than=timedelta(0))
+    assert any(f.startswith(f"transfers/{one.version}/_part=4042") for f in gone)
+    assert not any("_part=4045" in f for f in gone if f.startswith(("transfers", "country_transfer_flows")))
+    assert f"_staging/{three.version}" in gone and f"_manifests/{two.version}" in gone
+    assert transfer_set(load.current_tables(store)) == before
+    assert store.retain(loads=1, older_than=timedelta(0)) == []
+    assert [r.sequence for r in store.load_log().orderBy("sequence").collect()] == [1, 2, 3, 4]
+
+
+def test_conflicting_rows_are_merged_again(spark, store, tmp_path):
+    """Where rows of one key differ, a second load of the same file may change the stored row."""
+    rows = [transfer("7003", "2021-08-31", "21/22", "82", "83", fee) for fee in ("3", "6")]
+    rows.append(transfer("7001", "2022-01-09", "21/22", "83", "81", "5"))
+    one = load.run_load(store, snapshot(tmp_path / "raw", transfers=rows), "1", AT)
+    two = load.run_load(store, str(tmp_path / "raw"), "1", AT)
+    assert [p.part for p in store.written("transfers", two.version)] == [4042]
+    fees = [transfer_set(load.current_tables(store))["7003", date(2021, 8, 31), "82", "83"][0]]
+    fees.append({r.fee_eur for r in store.read("transfers", one.version).filter("transfer_date < '2022-01-01'").collect()}.pop())
+    assert fees == [600, 300]
+    rebuilt_equals_stored(store, two.version)
+
+
+def test_row_layout_serves_point_lookups(spark, tmp_path):
+    """A player's rows lie in few row groups of a part, and Bloom filters tell the clubs of a row group."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    store = TableStore(spark, str(tmp_path / "t"))
+    rows = spark.range(200_000).selectExpr(
+        "cast(id as string) as id", "id % 50000 as player_id", "(id * 7919) % 1000003 as from_club_id",
+        "(id * 104729) % 1000003 as to_club_id", "id as fee_eur", "false as fee_is_loan",
+        "'Summer 2020' as transfer_window", "4040 as window_key", "date'2020-07-01' as transfer_date", "'2020-2021' as season")
+    old = spark.sparkContext._jsc.hadoopConfiguration().get("parquet.block.size")
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", str(256 * 1024))
+    try:
+        store.write("transfers", "v", rows)
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        conf.set("parquet.block.size", old) if old else conf.unset("parquet.block.size")
+    held, groups = 0, 0
+    for f in glob.glob(str(tmp_path / "t/transfers/v/_part=4040/*.parquet")):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            column = meta.row_group(g).column(1)
+            assert column.path_in_schema == "player_id"
+            groups += 1
+            held += column.statistics.min <= 12345 <= column.statistics.max
+    assert groups >= 40 and held * 10 <= groups
+
+    def rows_read(condition):
+        found = store.read("transfers", "v").filter(condition)
+        plan = found._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        return found.count(), plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    rows, read = rows_read("player_id = 12345")
+    assert rows == 4 and read <= 200_000 / 10
+    # An id that lies within the range of every row group, but in none: only the Bloom filters tell.
+    taken = {r[0] for r in store.read("transfers", "v").select("from_club_id").collect()}
+    absent = next(i for i in range(500_000, 600_000) if i not in taken)
+    rows, read = rows_read(f"from_club_id = {absent}")
+    assert rows == 0 and read <= 200_000 / 5
+
+
+def test_merge_reads_its_snapshot_once(spark):
+    """Two scans of the snapshot's halves and one of the stored rows: no exchange is made twice."""
+    from flowspark.checks.sample import Sample
+
+    s = Sample(spark, "/root/testdata/sf0.001")
+    merged = load.merge_transfers(s.stored_transfers, s.transfer_snapshot)
+    merged.toArrow()
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    assert final.count("FileScan parquet [l_orderkey") == 3
