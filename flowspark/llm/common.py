@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (local runs)."""
+    """The folder all executors share; a temporary one only on a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="flowspark-llm-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -42,7 +45,35 @@ def keep(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete kept tables whose last reader has been written; others, and None, are left alone."""
+    for df in tables:
+        path = getattr(df, "_kept_at", None)
+        if path:
+            spark = df.sparkSession
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+            df._kept_at = None
+
+
+def with_row_number(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a different long for each row, the same each time they are read.
+
+    Rows of Parquet files are numbered by file and place in the file, which hold however tasks
+    are cut; the list of files is all that the driver sees. Other tables are kept first.
+    """
+    try:
+        at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return keep(docs.withColumn(name, F.monotonically_increasing_id()))
+    files = sorted(r[0] for r in at.select("_file").distinct().collect())
+    ranks = docs.sparkSession.createDataFrame(list(enumerate(files)), "_rank long, _file string")
+    return at.join(F.broadcast(ranks), "_file").withColumn(name, F.shiftleft("_rank", 40) + F.col("_at")).select(*docs.columns, name)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, release
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -41,12 +41,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         maps.append(hooked)
         left, right = hooked.toDF("a", "root_a"), hooked.toDF("b", "root_b")
         moved = live.join(left, "a").join(right, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        live = keep(_undirected(moved))
+        live, done = keep(_undirected(moved)), live
+        release(done)
+    release(live)
     if not maps:
         kind = dict(edges.dtypes)["a"]
         return edges.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
     labels = maps[-1]
     for hooked in reversed(maps[:-1]):
         last = labels.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        labels = keep(hooked.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
+        labels, done = keep(hooked.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"))), labels
+        release(done, hooked)
     return labels
