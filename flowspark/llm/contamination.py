@@ -234,12 +234,31 @@ def _without_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """Drops contaminated documents and cuts hit stretches out of the others' text."""
+#: A stretch is cut out of a clean document where it is at least so long, in words.
+CUT_LENGTH = WINDOW
+
+
+def _cut_spans(spans: F.Column, length: int) -> F.Column:
+    return F.filter(spans, lambda s: s["end"] - s["start"] >= length)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, cut_length: int = CUT_LENGTH) -> DataFrame:
+    """Drops contaminated documents and cuts long hit stretches out of the others' text.
+
+    A document goes when a twentieth of its words or more is hit. Of a document that stays,
+    stretches of cut_length words or more are cut; shorter ones, which only items below a
+    window's length can make, stay, as they are common phrases and the document is clean. Null
+    and empty texts stay as they are, equal rows are judged alike, texts may be of any length; an
+    empty table gives an empty one, and without items all stay. Other columns are kept as they
+    are, whatever their names.
+    """
     cut = F.pandas_udf(_without_spans, "string")
-    judged = find_contamination(docs, items, window=window).where(~is_contaminated())
-    text = F.when(F.col("n_hit") > 0, cut("text", "hit_spans")).otherwise(F.col("text"))
-    return judged.withColumn("text", text).select(*docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    own = docs.select(F.struct(F.lit(0).alias("text"), *others).alias("_doc"), "text")
+    judged = find_contamination(own, items, window=window).where(~is_contaminated())
+    long = _cut_spans(F.col("hit_spans"), cut_length)
+    judged = judged.withColumn("text", F.when(F.size(long) > 0, cut("text", long)).otherwise(F.col("text")))
+    return judged.select(*[F.col("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,10 @@ Repeated spans of SPAN words or more are found without shuffling every window:
    compared window by window, so that ends are exact to the word.
 
 A word goes if a window over it has the same words as a window that starts earlier.
-Words are compared by two independent 64-bit hashes, taken from the words at each place.
+Words are told apart by 64-bit hashes; cells and windows by 128 bits made from them.
+
+Places are those of rows: the id with a hash of the text, so that rows of one id with other
+texts are documents of their own, and equal rows are one.
 
 Two bitmaps of fixed size tell the scans which cells and places may matter, so that the rest
 isn't shuffled. They only spare work: on more data than they are made for they let more rows
@@ -37,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoded, keep, table
+from .common import encoded, keep, release, table
 
 SPAN, K = 20, 6
 #: Bits of a bitmap, as a power of two (16 MB).
@@ -67,7 +70,8 @@ def word_hashes(raw: bytes) -> np.ndarray:
     if not len(starts):
         return np.empty(0, np.uint64)
     place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
-    value = _BYTES[data[starts[0] :]] * _ODD[place & 0xFFFF]
+    factor = _ODD[place & 0xFFFF] + (place >> 16).astype(np.uint64) * (_FACTORS[14] << np.uint64(1))
+    value = _BYTES[data[starts[0] :]] * factor
     return _mixed(np.add.reduceat(value, starts - starts[0]) + (ends - starts).astype(np.uint64) * _FACTORS[15])
 
 
@@ -107,8 +111,9 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _places(doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return _mixed(doc_id.astype(np.int64).view(np.uint64) * _FACTORS[3] + start.astype(np.uint64) * _FACTORS[4])
+def _places(doc_id: np.ndarray, twin: np.ndarray, start: np.ndarray) -> np.ndarray:
+    row = doc_id.astype(np.int64).view(np.uint64) * _FACTORS[3] + twin.astype(np.int64).view(np.uint64) * _FACTORS[5]
+    return _mixed(row + start.astype(np.uint64) * _FACTORS[4])
 
 
 def bitmap(rows: DataFrame, column: str) -> Broadcast:
@@ -143,17 +148,17 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, columns: str, rows_of: Callable, given: Broadcast | None = None) -> DataFrame:
-    """rows_of(doc_id, K-mer hashes, bits) for every text of SPAN words or more, as arrays by column."""
+    """rows_of((doc_id, twin), K-mer hashes, bits) for every text of SPAN words or more, as arrays by column."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = given.value if given else None
         for batch in batches:
             parts, size = [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, twin, text in zip(batch["doc_id"], batch["twin"], batch["text"], strict=True):
                 words = word_hashes(encoded(text))
                 if len(words) >= SPAN:
-                    parts.append(rows_of(doc_id, kmer_hashes(words), bits))
+                    parts.append(rows_of((doc_id, twin), kmer_hashes(words), bits))
                     size += len(parts[-1][0])
                 if size > 200_000:
                     yield pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(names)})
@@ -161,84 +166,116 @@ def _scan(docs: DataFrame, columns: str, rows_of: Callable, given: Broadcast | N
             if parts:
                 yield pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(names)})
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInPandas(run, columns)
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), _twin().alias("twin"), "text")
+    return known.mapInPandas(run, columns)
+
+
+def _twin() -> F.Column:
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64("text")
+
+
+Row = tuple[int, int]
 
 
-def _kmers_only(doc_id: int, kmers: np.ndarray, bits: object) -> list[np.ndarray]:
+def _kmers_only(row: Row, kmers: np.ndarray, bits: object) -> list[np.ndarray]:
     return [_signed(kmers[cells_of(kmers)[0]])]
 
 
-def _whole_cells(doc_id: int, kmers: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+def _whole_cells(row: Row, kmers: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
     pick, start, n = cells_of(kmers)
     on = _in(bits, kmers[pick])
     pick, start, n = pick[on], start[on], n[on]
-    return [_signed(kmers[pick]), _signed(cell_contents(kmers, pick, start, n)), np.full(len(n), doc_id), start, n]
+    return [_signed(kmers[pick]), _signed(cell_contents(kmers, pick, start, n)), np.full(len(n), row[0]), np.full(len(n), row[1]), start, n]
 
 
-def _chosen_windows(doc_id: int, kmers: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+def _chosen_windows(row: Row, kmers: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
     _, start, n = cells_of(kmers)
-    on = _in(bits, _places(np.full(len(start), doc_id), start))
+    on = _in(bits, _places(np.full(len(start), row[0]), np.full(len(start), row[1]), start))
     start, n = start[on], n[on]
     at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
     one, two = window_hashes(kmers, at)
-    return [_signed(one), _signed(two), np.full(len(at), doc_id), at]
+    return [_signed(one), _signed(two), np.full(len(at), row[0]), np.full(len(at), row[1]), at]
 
 
 def repeated_cells(docs: DataFrame) -> DataFrame:
-    """(kmer, content, doc_id, start, n): the cells whose K-mer is chosen at two places or more."""
+    """(kmer, content, doc_id, twin, start, n): the cells whose K-mer is chosen at two places or more."""
     kmers = _scan(docs, "kmer long", _kmers_only)
     again = bitmap(kmers.groupBy("kmer").count().where("count > 1"), "kmer")
-    return keep(_scan(docs, "kmer long, content long, doc_id long, start int, n int", _whole_cells, again))
+    return keep(_scan(docs, "kmer long, content long, doc_id long, twin long, start int, n int", _whole_cells, again))
+
+
+def _sums(name: str, *place: object) -> list[F.Column]:
+    """Two sums that tell a multiset of places, for every occurrence counts; null beyond 2**31 places."""
+    h = F.xxhash64(*place)
+    return [F.try_sum(F.shiftright(h, 32)).alias(f"{name}_high"), F.try_sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"{name}_low")]
+
+
+_ENDS, _STARTS = ("ends_high", "ends_low"), ("starts_high", "starts_low")
 
 
 def graph_edges(cells: DataFrame) -> DataFrame:
-    """(kmer, content, times, doc_id, start, n, starts, ends): equal cells once, with their first place."""
+    """(kmer, content, times, doc_id, twin, start, n, starts_*, ends_*): equal cells once, with their first place."""
     end = F.col("start") + F.col("n")
     edges = cells.groupBy("kmer", "content").agg(
-        F.min(F.struct("doc_id", "start", "n")).alias("first"), F.count("*").alias("times"),
-        F.bit_xor(F.xxhash64("doc_id", "start")).alias("starts"), F.bit_xor(F.xxhash64("doc_id", end)).alias("ends"),
+        F.min(F.struct("doc_id", "twin", "start", "n")).alias("first"), F.count("*").alias("times"),
+        *_sums("starts", "doc_id", "twin", "start"), *_sums("ends", "doc_id", "twin", end),
     )
-    return keep(edges.select("kmer", "content", "times", "first.*", "starts", "ends"))
+    return keep(edges.select("kmer", "content", "times", "first.*", *_STARTS, *_ENDS))
 
 
 def compacted_paths(edges: DataFrame) -> DataFrame:
-    """(kmer, content, n_windows, n_edges, source_doc, source_start): each nonbranching path of
-    edges that occur twice or more, under the K-mer and content of its first edge."""
+    """(kmer, content, n_windows, n_edges, source_doc, source_twin, source_start): each nonbranching path
+    of edges that occur twice or more, under the K-mer and content of its first edge."""
     again = edges.where("times > 1")
-    before = again.select("doc_id", (F.col("start") + F.col("n")).alias("start"), F.col("times").alias("_times"), F.col("ends").alias("_ends"))
-    linked = again.join(before.distinct(), ["doc_id", "start"], "left")
-    goes_on = F.coalesce((F.col("_times") == F.col("times")) & (F.col("_ends") == F.col("starts")), F.lit(False))
-    linked = linked.groupBy("kmer", "content", "doc_id", "start", "n").agg(F.max(goes_on).alias("goes_on"))
-    upto = Window.partitionBy("doc_id").orderBy("start", "kmer", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = again.select(
+        "doc_id", "twin", (F.col("start") + F.col("n")).alias("start"), F.col("times").alias("_times"), *[F.col(c).alias(f"_{c}") for c in _ENDS]
+    )
+    linked = again.join(before.distinct(), ["doc_id", "twin", "start"], "left")
+    same = F.col("_times") == F.col("times")
+    for one, other in zip(_ENDS, _STARTS, strict=True):
+        same &= F.col(f"_{one}") == F.col(other)
+    linked = linked.groupBy("kmer", "content", "doc_id", "twin", "start", "n").agg(F.max(F.coalesce(same, F.lit(False))).alias("goes_on"))
+    order = Window.partitionBy("doc_id", "twin").orderBy("start", "kmer", "content")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     linked = linked.withColumn("path", F.sum((~F.col("goes_on")).cast("int")).over(upto))
     head = F.min(F.struct("start", "kmer", "content")).alias("head")
-    paths = linked.groupBy("doc_id", "path").agg(head, F.sum("n").alias("n_windows"), F.count("*").alias("n_edges"))
-    return keep(paths.select("head.kmer", "head.content", "n_windows", "n_edges", F.col("doc_id").alias("source_doc"), F.col("head.start").alias("source_start")))
+    paths = linked.groupBy("doc_id", "twin", "path").agg(head, F.sum("n").alias("n_windows"), F.count("*").alias("n_edges"))
+    source = [F.col("doc_id").alias("source_doc"), F.col("twin").alias("source_twin"), F.col("head.start").alias("source_start")]
+    return keep(paths.select("head.kmer", "head.content", "n_windows", "n_edges", *source))
 
 
 def path_spans(cells: DataFrame, paths: DataFrame) -> DataFrame:
-    """(doc_id, start, n_windows, source_doc, source_start): all occurrences of all paths."""
-    return cells.drop("n").join(paths, ["kmer", "content"]).select("doc_id", "start", "n_windows", "source_doc", "source_start")
+    """(doc_id, twin, start, n_windows, source_doc, source_twin, source_start): all occurrences of all paths."""
+    source = ("source_doc", "source_twin", "source_start")
+    return cells.drop("n").join(paths, ["kmer", "content"]).select("doc_id", "twin", "start", "n_windows", *source)
 
 
 def branching_windows(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, start, n_windows): windows in branching cells whose words start earlier elsewhere."""
+    """(doc_id, twin, start, n_windows): windows in branching cells whose words start earlier elsewhere."""
     forks = edges.groupBy("kmer").count().where("count > 1").select("kmer")
-    place = F.pandas_udf(lambda d, s: pd.Series(_signed(_places(d.to_numpy(), s.to_numpy()))), "long")
-    ends = edges.join(forks, "kmer", "left_semi").select(place("doc_id", "start").alias("place"))
-    windows = keep(_scan(docs, "one long, two long, doc_id long, start int", _chosen_windows, bitmap(ends, "place")))
-    first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    later = windows.join(first.drop("times"), ["one", "two"]).where("first <> struct(doc_id, start)")
-    return later.select("doc_id", "start", F.lit(1).cast("long").alias("n_windows"))
+    place = F.pandas_udf(lambda d, t, s: pd.Series(_signed(_places(d.to_numpy(), t.to_numpy(), s.to_numpy()))), "long")
+    ends = edges.join(forks, "kmer", "left_semi").select(place("doc_id", "twin", "start").alias("place"))
+    columns = "one long, two long, doc_id long, twin long, start int"
+    windows = keep(_scan(docs, columns, _chosen_windows, bitmap(ends, "place")))
+    at = F.struct("doc_id", "twin", "start")
+    first = windows.groupBy("one", "two").agg(F.min(at).alias("first"), F.count("*").alias("times")).where("times > 1")
+    later = windows.join(first.drop("times"), ["one", "two"]).where(F.col("first") != at)
+    return later.select("doc_id", "twin", "start", F.lit(1).cast("long").alias("n_windows"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, n_windows): every window whose words start earlier elsewhere lies in one of them."""
+    """(doc_id, twin, start, n_windows): every window whose words start earlier elsewhere lies in one of them."""
     cells = repeated_cells(docs)
     edges = graph_edges(cells)
-    spans = path_spans(cells, compacted_paths(edges))
-    later = spans.where("doc_id <> source_doc OR start <> source_start").select("doc_id", "start", "n_windows")
-    return keep(later.unionByName(branching_windows(edges, docs)))
+    paths = compacted_paths(edges)
+    spans = path_spans(cells, paths)
+    later = spans.where("doc_id <> source_doc OR twin <> source_twin OR start <> source_start")
+    found = later.select("doc_id", "twin", "start", "n_windows").unionByName(branching_windows(edges, docs))
+    # Equal rows tell the same spans.
+    found = keep(found.distinct())
+    release(cells, edges, paths)
+    return found
 
 
 def covered(n: int, spans: np.ndarray | None) -> np.ndarray:
@@ -257,14 +294,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     The text stays as it is where nothing is removed; else it is the kept words joined by
     single spaces. n_words counts the words before, kept_sha256 is the digest of the kept
     words joined by single spaces. Null and empty texts have no words and stay as they are.
-    Documents without an id are left whole, and rows that share an id count as one document.
-    Texts below SPAN words never lose a word. Columns of the three names are replaced.
+    Documents without an id are left whole. Rows that share an id are documents of their own
+    where their texts differ, in the order of a hash of the text; equal rows count as one.
+    Texts below SPAN words never lose a word; texts may be of any length, an empty table gives
+    an empty one. Columns of the three names are replaced; ids are whole numbers.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     spans = repeated_spans(docs.select("doc_id", "text"))
-    # Gathered by document, spans are an array of numbers no longer than the document.
+    # Gathered by row, different spans are an array of numbers no longer than the text.
     span = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n_windows"))
-    by_doc = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(span).alias("_spans"))
+    by_doc = spans.groupBy(F.col("doc_id").alias("_span_doc"), F.col("twin").alias("_span_twin")).agg(F.collect_list(span).alias("_spans"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
 
@@ -290,8 +329,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                     texts.append(None if raw is None else (kept if gone[-1] else raw).decode("utf-8", "surrogatepass"))
                 yield rows[list(kinds)].assign(text=texts, n_words=counts, n_removed=gone, kept_sha256=digests)
 
-    packed = docs.mapInPandas(pack, schema.replace("`text` string", "`text` binary"))
-    joined = packed.join(by_doc, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    told = docs.withColumn("_text_twin", _twin())
+    packed = told.mapInPandas(pack, f"{schema}, _text_twin long".replace("`text` string", "`text` binary"))
+    same = (F.col("doc_id").cast("long") == F.col("_span_doc")) & (F.col("_text_twin") == F.col("_span_twin"))
+    joined = packed.join(by_doc, same, "left").drop("_span_doc", "_span_twin", "_text_twin")
     return joined.mapInPandas(run, f"{schema}, n_words long, n_removed long, kept_sha256 string")
 
 

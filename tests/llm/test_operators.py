@@ -293,3 +293,58 @@ def test_pipeline_keeps_rows_without_ids_or_labels(spark, tmp_path):
     for case, labels in [("none", []), ("null", [(1, None)]), ("one kind", [(1, 0), (7, 0)])]:
         spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/{case}/labels.parquet")
         assert corpus_pipeline.keep_quality(spark, docs, f"{tmp_path}/{case}").count() == len(rows)
+
+
+def test_rows_of_one_id_lose_only_their_own_words(spark):
+    """Equal ids with other texts, longer and shorter, and equal rows, whose even numbers must not hide other places."""
+    rng = random.Random(21)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    p, u = fresh(60), fresh(60)
+    rows = [(0, p), (5, f"{p} {fresh(30)}"), (5, u), (5, fresh(25)), (6, "")]
+    got = {(r["doc_id"], r["text"]): r["n_removed"] for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0, p] == 0 and got[5, u] == 0 and sorted(got.values()) == [0, 0, 0, 0, 60]
+    a, b, c = fresh(40), fresh(40), fresh(40)
+    rows = [(1, f"{a} {b}")] * 2 + [(2, f"{a} {c}")] * 2 + [(3, f"{fresh(40)} {b}")] * 2 + [(4, f"{a} {fresh(50)}")] * 200
+    got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_words"], r["n_removed"]) for r in got} == {(1, 80, 0), (2, 80, 40), (3, 80, 40), (4, 90, 40)}
+    assert len(got) == len(rows)
+
+
+def test_long_words_that_differ_by_an_exchange_of_bytes():
+    word = b"a" + b"x" * 65_535 + b"bc"
+    other = b"b" + b"x" * 65_535 + b"ac"
+    assert substrings.word_hashes(word)[0] != substrings.word_hashes(other)[0]
+
+
+def test_short_items_cut_nothing_out_of_clean_documents(spark):
+    words = [f"w{i}" for i in range(600)]
+    long = " ".join(words[100:120])
+    docs = spark.createDataFrame([(1, " ".join(words), "x", 3), (2, "w5 " * 3 + long, "x", 3), (3, None, "x", 3), (4, "", None, None)],
+                                 "doc_id long, text string, hit_spans string, n_hit int")
+    items = spark.createDataFrame([(1, "w5"), (2, long)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in contamination.decontaminate(docs, items).collect()}
+    assert set(got) == {1, 3, 4}
+    assert got[1]["text"].split() == words[:100] + words[120:] and (got[1]["hit_spans"], got[1]["n_hit"]) == ("x", 3)
+    assert got[3]["text"] is None and got[4]["text"] == ""
+    assert contamination.decontaminate(docs.limit(0), items).isEmpty()
+    assert contamination.decontaminate(docs, items.limit(0)).count() == 4
+
+
+CLASH = {"size": "long", "epoch": "long", "score": "double", "predicted": "int", "held_out": "boolean", "n_words": "long",
+         "n_removed": "long", "kept_sha256": "string", "_row": "long", "hit_spans": "string", "taken": "long", "row": "long"}
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark, tmp_path):
+    base = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60)
+    docs = base.withColumns({c: F.lit(7).cast(t) for c, t in CLASH.items()}).withColumn("kept_sha256", F.lit("mine"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_DIR)
+        assert out.dtypes == docs.dtypes, name
+        assert {r["kept_sha256"] for r in out.collect()} == {"mine"} and {r["size"] for r in out.collect()} == {7}, name
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0, name
+    mixed = corpus_pipeline.mix(spark, docs, SF_DIR)
+    assert len(set(mixed.columns)) == len(mixed.columns) and {"doc_size", "doc_epoch", "size", "epoch"} <= set(mixed.columns)
+    assert {r["doc_size"] for r in mixed.collect()} == {7}
+    assert corpus_pipeline.mix(spark, docs.limit(0), SF_DIR).count() == 0
