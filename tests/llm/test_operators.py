@@ -258,8 +258,9 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-@pytest.mark.parametrize(("stars", "sampled"), [(4, 1), (1, 16)])
-def test_near_copies_equal_all_pairs(spark, docs, monkeypatch, stars, sampled):
+@pytest.mark.parametrize(("stars", "sampled", "small"), [(4, 1, 32), (1, 16, 1)])
+def test_near_copies_equal_all_pairs(spark, docs, monkeypatch, stars, sampled, small):
+    monkeypatch.setattr(similar, "SMALL", small)
     monkeypatch.setattr(similar, "STARS", stars)
     monkeypatch.setattr(similar, "SAMPLED", sampled)
     rng = random.Random(11)
