@@ -543,6 +543,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT {_TRANSFER_ITEM} FROM ranged WHERE from_country_id = 3 OR to_country_id = 3
             ORDER BY player_name NULLS LAST, id LIMIT 20"""),
         "country_transfers_direction": _with(f"SELECT {_TRANSFER_ITEM} FROM ranged WHERE to_country_id = 3"),
+        "country_transfers_located": _with(f"SELECT {_TRANSFER_ITEM} FROM ranged WHERE to_country_id = 3"),
+        "country_flows_located": _with(f"""
+            SELECT * FROM ({_flow_rows('filtered')}) WHERE from_country_id IN (3, 7) OR to_country_id IN (3, 7)"""),
         "country_pair_transfers": _with(f"""
             SELECT {_TRANSFER_ITEM}, 'both' AS variant FROM ranged
             WHERE (from_country_id = 3 AND to_country_id = 7) OR (from_country_id = 7 AND to_country_id = 3)

@@ -263,6 +263,17 @@ def country_transfers_total(s: Sample) -> DataFrame:
     return countries.total_of(countries.country_transfers(s.tables, COUNTRY, FILTERS))
 
 
+@_query
+def country_flows_located(s: Sample) -> DataFrame:
+    """Filtered flows from stored transfers that carry their countries: no join with clubs."""
+    return flows.country_flows(s.located_tables, replace(FILTERS, country_ids=[COUNTRY, COUNTERPART]))
+
+
+@_query
+def country_transfers_located(s: Sample) -> DataFrame:
+    return countries.country_transfers(s.located_tables, COUNTRY, RANGE, direction="buying")
+
+
 # --- clubs -----------------------------------------------------------------------
 
 

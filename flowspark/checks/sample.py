@@ -17,6 +17,7 @@ from flowspark.functions import money, seasons
 from flowspark.functions.ids import transfer_row_id
 from flowspark.functions.people import position_group
 from flowspark.operators import resolve
+from flowspark.operators.lookups import with_both_clubs
 from flowspark.operators.merge import first_per_key
 from flowspark.plans.tables import Tables
 from flowspark.sources.snapshot import MALFORMED
@@ -408,6 +409,13 @@ class Sample:
             "transfer_window", F.when(F.col("fee_is_loan"), odd).otherwise(F.col("transfer_window"))
         )
 
+    @cached_property
+    def located_tables(self) -> Tables:
+        """The same tables with the transfers in a store, in parts and with the countries of their clubs."""
+        store = self.new_store()
+        located = store.write("transfers", "v1", with_both_clubs(self.transfers, self.clubs, "country_id"))
+        return replace(self.tables, transfers=located)
+
     @cached_property
     def raw_players(self) -> DataFrame:
         """Parts as raw players; small ones come again, later and under another name."""

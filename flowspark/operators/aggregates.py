@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.seasons import window_key
-from flowspark.operators.lookups import with_both_clubs
+from flowspark.operators.lookups import COUNTRY_IDS, has_countries, with_countries
 
 FLOW_MEASURES = ("total_fee_eur", "transfer_count", "loan_count")
 FLOW_COUNTS = ("transfer_count", "loan_count")
@@ -43,12 +43,17 @@ def window_columns(transfers: DataFrame) -> list[str]:
     return [c for c in ("transfer_window", "window_key") if c in transfers.columns]
 
 
+def _end_columns(transfers: DataFrame) -> tuple[str, ...]:
+    """What tells the countries of a transfer: its stored country ids, else its clubs."""
+    return COUNTRY_IDS if has_countries(transfers) else ("from_club_id", "to_club_id")
+
+
 def country_flows_by_window(transfers: DataFrame, clubs: DataFrame) -> DataFrame:
     """Fee sum, permanent count and loan count per country pair and window."""
     window = window_columns(transfers)
-    rows = transfers.select("from_club_id", "to_club_id", *window, "fee_eur", "fee_is_loan")
+    rows = transfers.select(*_end_columns(transfers), *window, "fee_eur", "fee_is_loan")
     return (
-        with_both_clubs(rows, clubs, "country_id")
+        with_countries(rows, clubs)
         .groupBy("from_country_id", "to_country_id", *window)
         .agg(*flow_measures())
     )
@@ -56,9 +61,9 @@ def country_flows_by_window(transfers: DataFrame, clubs: DataFrame) -> DataFrame
 
 def country_flows_from_transfers(transfers: DataFrame, clubs: DataFrame) -> DataFrame:
     """The same over all windows, for filtered transfers."""
-    rows = transfers.select("from_club_id", "to_club_id", "fee_eur", "fee_is_loan")
+    rows = transfers.select(*_end_columns(transfers), "fee_eur", "fee_is_loan")
     return (
-        with_both_clubs(rows, clubs, "country_id")
+        with_countries(rows, clubs)
         .groupBy("from_country_id", "to_country_id")
         .agg(*flow_measures())
     )
@@ -101,7 +106,8 @@ def signed_changes(changes: DataFrame) -> DataFrame:
     `changes` has the key and the new values of each transfer, and in _old the values that an
     update replaced.
     """
-    ends, values = ("from_club_id", "to_club_id"), ("fee_eur", "fee_is_loan", "transfer_window")
+    ends, values = ["from_club_id", "to_club_id"], ("fee_eur", "fee_is_loan", "transfer_window")
+    ends += COUNTRY_IDS if has_countries(changes) else ()
 
     def row(sign: int, value) -> Column:
         return F.struct(F.lit(sign).alias("sign"), *[F.col(c) for c in ends], *[value(v).alias(v) for v in values])
@@ -115,7 +121,7 @@ def flow_deltas(signed: DataFrame, clubs: DataFrame) -> DataFrame:
     """What signed transfers add to the flows of their country pairs and windows."""
     sign, loan = F.col("sign"), F.col("fee_is_loan")
     return (
-        with_both_clubs(signed, clubs, "country_id")
+        with_countries(signed, clubs)
         .groupBy("from_country_id", "to_country_id", "transfer_window", "window_key")
         .agg(
             F.sum(sign * permanent_fee()).alias("total_fee_eur"),

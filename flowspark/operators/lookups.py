@@ -28,6 +28,21 @@ def with_both_clubs(transfers: DataFrame, clubs: DataFrame, *columns: str) -> Da
     return with_club(with_club(transfers, clubs, "from", *columns), clubs, "to", *columns)
 
 
+COUNTRY_IDS = ("from_country_id", "to_country_id")
+
+
+def has_countries(transfers: DataFrame) -> bool:
+    return all(c in transfers.columns for c in COUNTRY_IDS)
+
+
+def with_countries(transfers: DataFrame, clubs: DataFrame) -> DataFrame:
+    """Transfers with the country ids of both ends: as stored with them, else those of their clubs.
+
+    Filters on stored ids reach the Parquet scan, and no join is made.
+    """
+    return transfers if has_countries(transfers) else with_both_clubs(transfers, clubs, "country_id")
+
+
 def with_player(
     transfers: DataFrame, players: DataFrame, filters: TransferFilters, *columns: str
 ) -> DataFrame:

@@ -62,7 +62,7 @@ def _pair_summaries(
     """Club summaries of the permanent transfers between two countries."""
     transfers = flt.in_window_range(tables.transfers, filters).filter(~F.col("fee_is_loan"))
     ends = tables.clubs.filter(F.col("country_id").isin(country_id, counterpart_id))
-    between = lookups.with_both_clubs(transfers, ends, "country_id")
+    between = lookups.with_countries(transfers, ends)
     pair = between.filter(flt.direction_of(country_id, counterpart_id))
     buys = (F.col("to_country_id") == country_id) & (F.col("from_country_id") == counterpart_id)
     sells = (F.col("from_country_id") == country_id) & (F.col("to_country_id") == counterpart_id)
@@ -172,7 +172,7 @@ def country_transfers(
 ) -> DataFrame:
     """All transfers of a country's clubs that pass the filters (not the country list)."""
     transfers = flt.on_transfer_columns(tables.transfers, filters)
-    placed = lookups.with_both_clubs(transfers, tables.clubs, "country_id")
+    placed = lookups.with_countries(transfers, tables.clubs)
     chosen = placed.filter(flt.direction_of(country_id, counterpart_id, direction))
     # Names only join what is left; the joins of all transfers carry ids alone.
     named = lookups.with_both_clubs(chosen, tables.clubs, "name")

@@ -30,21 +30,29 @@ def _from_aggregate(tables: Tables, filters: TransferFilters) -> DataFrame:
     flows = tables.with_aggregates().country_transfer_flows
     flows = flt.in_window_range(flows, filters)
     flows = flt.involving_countries(flows, filters.country_ids)
-    scope = tables.countries.filter("in_scope")
-    for end in ("from", "to"):
-        ids = scope.select(F.col("id").alias(f"{end}_country_id"))
-        flows = flows.join(ids, f"{end}_country_id", "left_semi")
-    return aggregates.sum_flows(flows)
+    return aggregates.sum_flows(_in_scope(tables, flows))
 
 
 def _from_transfers(tables: Tables, filters: TransferFilters) -> DataFrame:
     transfers = flt.on_transfer_columns(tables.transfers, filters)
     transfers = lookups.with_player(transfers, tables.players, filters)
+    if lookups.has_countries(transfers):
+        transfers = flt.involving_countries(transfers, filters.country_ids)
+        return _in_scope(tables, aggregates.country_flows_from_transfers(transfers, tables.clubs))
     clubs = lookups.scoped_clubs(tables.clubs, tables.countries)
     flows = aggregates.country_flows_from_transfers(transfers, clubs)
     return flt.involving_countries(flows, filters.country_ids)
 
 
+def _in_scope(tables: Tables, flows: DataFrame) -> DataFrame:
+    """Flows between in-scope countries."""
+    scope = tables.countries.filter("in_scope")
+    for end in ("from", "to"):
+        ids = scope.select(F.col("id").alias(f"{end}_country_id"))
+        flows = flows.join(ids, f"{end}_country_id", "left_semi")
+    return flows
+
+
 def country_net_spend(tables: Tables, filters: TransferFilters = ALL) -> DataFrame:
     """Spent, received and net spend per country over the filtered flows."""
     spend = aggregates.net_spend(country_flows(tables, filters))

@@ -13,6 +13,7 @@ from flowspark import schemas
 from flowspark.functions.ids import transfer_row_id
 from flowspark.functions.seasons import window_key
 from flowspark.operators import aggregates, merge, numbering, resolve
+from flowspark.operators.lookups import with_both_clubs
 from flowspark.plans import quality
 from flowspark.plans.tables import Tables
 from flowspark.sources import contract, seeds
@@ -289,7 +290,11 @@ def _load_facts(run: _Load) -> None:
         typed = resolve.transfer_rows(run.raw("transfers.csv"), ORDINAL)
         resolved = resolve.resolve_transfers(typed, players, clubs, ORDINAL)
         resolved = _resolved(run, "transfers", resolved, resolve.TRANSFER_OUTCOMES)
-        _merge_parts(run, "transfers", resolve.accepted(resolved), [*TRANSFER_KEY, *TRANSFER_VALUES], merge_transfers)
+
+        def merged(stored: DataFrame, rows: DataFrame, first_load: bool) -> DataFrame:
+            return with_both_clubs(merge_transfers(stored, rows, first_load), clubs, "country_id")
+
+        _merge_parts(run, "transfers", resolve.accepted(resolved), [*TRANSFER_KEY, *TRANSFER_VALUES], merged)
 
     if run.same_file("player_valuations.csv") and same_players and run.settled("player_valuations"):
         run.carry("player_valuations")

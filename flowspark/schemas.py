@@ -49,7 +49,8 @@ PLAYERS = _schema(
 )
 
 # window_key repeats transfer_window as a sortable number, so that a range of
-# windows is a comparison that can skip Parquet row groups.
+# windows is a comparison that can skip Parquet row groups. The country ids are those of
+# the clubs, written when a transfer is stored: a stored club never changes its country.
 TRANSFERS = _schema(
     ("id", T.StringType()),
     ("player_id", T.LongType()),
@@ -61,6 +62,8 @@ TRANSFERS = _schema(
     ("window_key", T.IntegerType()),
     ("transfer_date", T.DateType()),
     ("season", T.StringType()),
+    ("from_country_id", T.IntegerType()),
+    ("to_country_id", T.IntegerType()),
 )
 
 PLAYER_VALUATIONS = _schema(

@@ -210,7 +210,8 @@ class TableStore:
         """
         fields = schemas.TABLES[table].fields
         extra = [c for c in rows.columns if c not in [f.name for f in fields]]
-        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in fields], *extra)
+        given = {c: F.col(c) for c in rows.columns}
+        typed = rows.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], *extra)
         if table in _PARTS:
             typed = typed.withColumn(PART, part_of(table))
             if "player_id" in typed.columns:

@@ -11,7 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.operators import merge
+from flowspark.operators.filters import TransferFilters
 from flowspark.plans import load
+from flowspark.plans.countries import country_transfers
+from flowspark.plans.flows import country_flows
 from flowspark.sources import seeds
 from flowspark.sources.contract import SchemaValidationError, check_columns
 from flowspark.sources.snapshot import ORDINAL, AmbiguousFileError, read_csv, read_snapshot
@@ -384,7 +387,7 @@ def test_country_names_and_codes(spark):
 def rebuilt_equals_stored(store, version):
     from flowspark.operators import aggregates
 
-    transfers, clubs = store.read("transfers", version), store.read("clubs", version)
+    transfers, clubs = store.read("transfers", version).drop("from_country_id", "to_country_id"), store.read("clubs", version)
     for table, rebuilt in (("country_transfer_flows", aggregates.country_flows_by_window(transfers, clubs)),
                            ("club_transfer_summaries", aggregates.club_summaries_by_window(transfers))):
         stored = store.read(table, version)
@@ -422,6 +425,17 @@ def test_load_writes_only_what_changed(spark, store, tmp_path):
     windows = {r.transfer_window for r in three.tables.transfers.collect()}
     assert windows == {"Summer 2021", "Winter 2022", "Summer 2020", "Summer 2017", "Summer 2018"}
 
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    filters = TransferFilters(transfer_type="paid", country_ids=[1])
+    flows = country_flows(three.tables, filters)
+    pushed = [line for line in flows._jdf.queryExecution().executedPlan().toString().splitlines() if "fee_eur" in line and "FileScan" in line]
+    assert len(pushed) == 1 and "from_club_id" not in pushed[0]
+    assert "EqualTo(from_country_id,1)" in pushed[0].split("PushedFilters")[1]
+    assert {(r.from_country_id, r.to_country_id) for r in flows.collect()} == {(1, 2), (2, 1)}
+    rows = country_transfers(three.tables, 1, direction="buying")
+    assert "EqualTo(to_country_id,1)" in rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
     from datetime import timedelta
 
     before = transfer_set(load.current_tables(store))

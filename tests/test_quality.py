@@ -1,5 +1,6 @@
 """Quality checks: a passing and a failing case each."""
 
+import re
 from datetime import date
 
 import pytest
@@ -95,3 +96,22 @@ def test_bad_windows_and_duplicates(spark):
     assert [tuple(r) for r in duplicate_keys(df, ["transfer_window"]).collect()] == [("Summer 2023", 2)]
     rows = df.select(F.lit(None).cast("long").alias("player_id"))
     assert quality.orphans(rows, spark.range(1)).first().row_count == 5
+
+
+def test_report_reads_transfers_twice_and_valuations_once(spark, tmp_path):
+    from flowspark.checks.sample import Sample
+
+    s = Sample(spark, "/root/testdata/sf0.001")
+    s.transfers.write.parquet(f"{tmp_path}/transfers")
+    s.player_valuations.write.parquet(f"{tmp_path}/valuations")
+    s.tables.with_aggregates().country_transfer_flows.write.parquet(f"{tmp_path}/flows")
+    tables = Tables(s.countries, s.leagues, s.clubs, s.players, spark.read.parquet(f"{tmp_path}/transfers"),
+                    spark.read.parquet(f"{tmp_path}/valuations"), spark.read.parquet(f"{tmp_path}/flows"))
+    df = quality.quality_report(tables, AS_OF)
+    assert df.count() == 13
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    reads = [line for line in final.splitlines() if "FileScan" in line]
+    assert sum("transfer_window#" in line for line in reads) == 2
+    assert sum(re.search(r"parquet \[player_id#\d+L\]", line) is not None for line in reads) == 1
