@@ -119,3 +119,13 @@ def test_no_cross_joins(spark):
     for name, build in contract.queries().items():
         plan = build(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+def test_stints_read_transfers_once(spark):
+    from flowspark.checks.sample import Sample
+    from flowspark.plans import players
+
+    found = players.career_stints(Sample(spark, SF_DIR).tables)
+    found.toArrow()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("Initial Plan")].count("FileScan parquet [l_orderkey") == 1
