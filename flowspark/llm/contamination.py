@@ -253,12 +253,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, cu
     are, whatever their names.
     """
     cut = F.pandas_udf(_without_spans, "string")
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    own = docs.select(F.struct(F.lit(0).alias("text"), *others).alias("_doc"), "text")
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    own = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("_doc"), "text")
     judged = find_contamination(own, items, window=window).where(~is_contaminated())
     long = _cut_spans(F.col("hit_spans"), cut_length)
     judged = judged.withColumn("text", F.when(F.size(long) > 0, cut("text", long)).otherwise(F.col("text")))
-    return judged.select(*[F.col("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    return judged.select(*[F.col("text") if c == "text" else F.col("_doc")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,9 @@ def word_hashes(raw: bytes) -> np.ndarray:
     if not len(starts):
         return np.empty(0, np.uint64)
     place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
-    factor = _ODD[place & 0xFFFF] + (place >> 16).astype(np.uint64) * (_FACTORS[14] << np.uint64(1))
+    factor = _ODD[place & 0xFFFF]
+    if len(data) > 1 << 16:  # places in longer words take further factors, odd ones too
+        factor = factor + (place >> 16).astype(np.uint64) * (_FACTORS[14] << np.uint64(1))
     value = _BYTES[data[starts[0] :]] * factor
     return _mixed(np.add.reduceat(value, starts - starts[0]) + (ends - starts).astype(np.uint64) * _FACTORS[15])
 
@@ -202,7 +204,9 @@ def repeated_cells(docs: DataFrame) -> DataFrame:
     """(kmer, content, doc_id, twin, start, n): the cells whose K-mer is chosen at two places or more."""
     kmers = _scan(docs, "kmer long", _kmers_only)
     again = bitmap(kmers.groupBy("kmer").count().where("count > 1"), "kmer")
-    return keep(_scan(docs, "kmer long, content long, doc_id long, twin long, start int, n int", _whole_cells, again))
+    cells = keep(_scan(docs, "kmer long, content long, doc_id long, twin long, start int, n int", _whole_cells, again))
+    again.destroy()
+    return cells
 
 
 def _sums(name: str, *place: object) -> list[F.Column]:
@@ -257,7 +261,9 @@ def branching_windows(edges: DataFrame, docs: DataFrame) -> DataFrame:
     place = F.pandas_udf(lambda d, t, s: pd.Series(_signed(_places(d.to_numpy(), t.to_numpy(), s.to_numpy()))), "long")
     ends = edges.join(forks, "kmer", "left_semi").select(place("doc_id", "twin", "start").alias("place"))
     columns = "one long, two long, doc_id long, twin long, start int"
-    windows = keep(_scan(docs, columns, _chosen_windows, bitmap(ends, "place")))
+    chosen = bitmap(ends, "place")
+    windows = keep(_scan(docs, columns, _chosen_windows, chosen))
+    chosen.destroy()
     at = F.struct("doc_id", "twin", "start")
     first = windows.groupBy("one", "two").agg(F.min(at).alias("first"), F.count("*").alias("times")).where("times > 1")
     later = windows.join(first.drop("times"), ["one", "two"]).where(F.col("first") != at)

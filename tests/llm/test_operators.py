@@ -332,7 +332,7 @@ def test_short_items_cut_nothing_out_of_clean_documents(spark):
 
 
 CLASH = {"size": "long", "epoch": "long", "score": "double", "predicted": "int", "held_out": "boolean", "n_words": "long",
-         "n_removed": "long", "kept_sha256": "string", "_row": "long", "hit_spans": "string", "taken": "long", "row": "long"}
+         "n_removed": "long", "kept_sha256": "string", "a name, with: signs": "int", "_row": "long", "hit_spans": "string", "taken": "long", "row": "long"}
 
 
 def test_stages_keep_clashing_columns_and_empty_tables(spark, tmp_path):
