@@ -52,7 +52,7 @@ def _summarise_differing(
 
     The different values of the keys are found once. Heads and tails both read all
     columns of that shuffle, and neither filters it, so that Spark plans it, and the
-    snapshot below it, once.
+    snapshot below it, once. Heads carry the first value only; the last two are tails.
     """
     known = reduce(Column.__and__, [F.col(k).isNotNull() for k in key])
     distinct = snapshot.filter(known).groupBy(*key, *values).agg(
@@ -60,12 +60,15 @@ def _summarise_differing(
     )
     heads = distinct.groupBy(*key).agg(
         F.min_by(_pack(values), F.col("_min")).alias("_first"),
-        F.max_by(_pack(values), F.col("_max")).alias("_last"),
-        F.sum("_n").alias(ROWS),
+        F.sum(F.when(F.col("_max") < F.col("_min"), 0).otherwise(F.col("_n"))).alias(ROWS),  # reads _max, as tails do
     )
     newest = Window.partitionBy(*key).orderBy(F.col("_max").desc())
-    second = distinct.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 2")
-    tails = second.groupBy(*key).agg(F.max(_pack([*values, "_min", "_max", "_n"])).alias("_previous"))
+    ranked = distinct.withColumn("_rank", F.row_number().over(newest)).filter("_rank <= 2")
+    last, previous = (F.col("_rank") == 1) & F.col("_max").isNotNull(), F.col("_rank") == 2
+    tails = ranked.groupBy(*key).agg(
+        F.max(F.when(last, _pack(values))).alias("_last"),
+        F.max(F.when(previous, _pack([*values, "_min", "_max", "_n"]))).alias("_previous"),
+    )
     return heads.join(tails, key, "left").withColumn(CONFLICT, F.col("_previous").isNotNull())
 
 

@@ -1,8 +1,9 @@
-"""What the larger tables ask of the plans."""
+"""What the larger tables ask of the plans: narrow joins, one read of the snapshot."""
 
 import os
 
 from flowspark.checks.sample import Sample
+from flowspark.operators import merge
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -14,3 +15,30 @@ def optimized(df):
 def test_fees_are_computed_before_the_orders_are_met(spark):
     plan = optimized(Sample(spark, SF_DIR).all_transfers)
     assert "AS fee_eur" in plan[plan.index("Join Inner") :]
+
+
+def test_the_snapshot_reads_the_transfers_once(spark):
+    sample = Sample(spark, SF_DIR)
+    assert optimized(sample.transfer_snapshot).count("Relation ") == 2
+    rows = sample.all_transfers
+    copies = rows.filter("l_returnflag <> 'N' and l_discount < 0.05").count()
+    counts = {r["_ordinal"]: r["count"] for r in sample.transfer_snapshot.groupBy("_ordinal").count().collect()}
+    assert counts == {0: rows.count(), 1: copies} and copies
+
+
+def test_heads_of_a_merge_carry_one_value_and_share_the_shuffle(spark):
+    rows = [(1, 10, 1), (1, 20, 2), (1, 10, 3), (2, 5, 1), (2, 5, 2), (3, None, 1), (3, 7, 2), (4, 9, None)]
+    snapshot = spark.createDataFrame(rows, "k long, v long, at long")
+    stored = spark.createDataFrame([(1, 10), (2, 5), (3, 1), (9, 9)], "k long, v long")
+    merged = merge.merge_snapshot(stored, snapshot, ["k"], ["v"], "at")
+    got = {r["k"]: (r["v"], r["_change"], r["_rows"]) for r in merged.collect()}
+    assert got == {
+        1: (20, "update", 3), 2: (5, "unchanged", 2), 3: (7, "update", 2), 4: (None, "insert", 1), 9: (9, "kept", 0),
+    }
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        summary = merge._summarise_differing(snapshot, ["k"], ["v"], "at").select("k", "_first", "_last", "_previous", merge.ROWS)
+        plan = summary._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "ReusedExchange" in plan and "min_by" in plan and "max_by" not in plan
