@@ -16,6 +16,7 @@ from flowspark.operators import aggregates, merge, numbering, resolve
 from flowspark.operators.lookups import with_both_clubs
 from flowspark.plans import quality
 from flowspark.plans.tables import Tables
+from flowspark.session import compiled_methods
 from flowspark.sources import contract, seeds
 from flowspark.sources.snapshot import ORDINAL, digest_text, multiset_digest, read_snapshot, source_digest
 from flowspark.sources.store import PART, Part, TableStore, part_of
@@ -223,7 +224,8 @@ def stage_counted(
     """Stage resolved rows, without their raw ids, and observe how many have each outcome."""
     rows = resolved.drop(*[c for c in resolved.columns if c.startswith("raw_")])
     seen = Observation()
-    staged = stage(table, rows.observe(seen, *resolve.outcome_metrics(rows.columns, outcomes)))
+    with compiled_methods(resolved.sparkSession):
+        staged = stage(table, rows.observe(seen, *resolve.outcome_metrics(rows.columns, outcomes)))
     told = seen.get
     if sum(told[o] for o in outcomes) != told["rows"]:
         raise RuntimeError(f"{table}: rows with an unknown outcome")

@@ -1,9 +1,10 @@
-"""What the larger tables ask of the plans: narrow joins, one read of the snapshot."""
+"""What the larger tables ask of the plans: narrow joins, one read of the snapshot, compiled methods."""
 
 import os
 
 from flowspark.checks.sample import Sample
-from flowspark.operators import merge
+from flowspark.operators import merge, resolve
+from flowspark.plans import load
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -42,3 +43,18 @@ def test_heads_of_a_merge_carry_one_value_and_share_the_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert "ReusedExchange" in plan and "min_by" in plan and "max_by" not in plan
+
+
+def test_staging_bounds_generated_methods(spark):
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(name, None)
+    rows = spark.createDataFrame([(1, None), (2, "missing_player")], "raw_id long, reject_reason string")
+
+    def stage(table, df):
+        seen.append(spark.conf.get(name))
+        df.write.format("noop").mode("overwrite").save()
+        return df
+
+    _, counts = load.stage_counted(stage, "player_valuations", rows, resolve.VALUATION_OUTCOMES)
+    assert counts == {"missing_player": 1, "accepted": 1}
+    assert seen == ["8000"] and spark.conf.get(name, None) == before
