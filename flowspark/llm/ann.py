@@ -35,7 +35,9 @@ MOST_LISTS, PROBED, LEAST_PROBED = 65_536, 0.7, 24
 #: A share of candidates few enough to be measured one by one.
 FEW = 0.03
 #: Pairs that a step of a scan holds.
-STEP = 1 << 20
+STEP = 1 << 17
+#: Rounding of a distance, as a part of the squared lengths.
+NEAR = 1e-9
 BLOCK, SIGMAS = 16, 2.6
 CELL, QUERY_CELL = 8192, 1024
 
@@ -100,24 +102,32 @@ def scan(query: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
     The k rows that look nearest after the first block are measured in full; the farthest of
     them is what the test of each block compares with, scaled by 1 + SIGMAS / sqrt(columns seen).
+    Where all rows are measured to the end, the k-th nearest takes its place.
     """
     dims = rows.shape[1]
     if len(rows) <= k:
         return np.repeat(np.arange(len(query)), len(rows)), np.tile(np.arange(len(rows)), len(query))
-    first, head = query[:, :BLOCK], rows[:, :BLOCK]
-    part = (first**2).sum(axis=1)[:, None] + (head**2).sum(axis=1) - 2 * first @ head.T
+
+    def block(at: int, stop: int) -> np.ndarray:
+        a, b = query[:, at:stop], rows[:, at:stop]
+        left = np.column_stack([-2 * a, (a**2).sum(axis=1), np.ones(len(a))])
+        return left @ np.column_stack([b, np.ones(len(b)), (b**2).sum(axis=1)]).T
+
+    part = block(0, min(BLOCK, dims))
     lead = np.argpartition(part, k - 1, axis=1)[:, :k]
     worst = ((rows[lead] - query[:, None, :]) ** 2).sum(axis=2).max(axis=1)
     # While many candidates are left, a block is measured for all at once; then for the rest only.
-    stop, alive = min(BLOCK, dims), None
+    stop = min(BLOCK, dims)
     while True:
-        bound = worst * ((1 + SIGMAS / np.sqrt(stop)) ** 2 if stop < dims else 1 + 1e-9)
-        alive = part * (dims / stop) <= bound[:, None]
-        if stop == dims or np.count_nonzero(alive) <= FEW * alive.size:
+        if stop == dims:
+            error = NEAR * ((query**2).sum(axis=1) + (rows**2).sum(axis=1).max())
+            alive = part <= (np.partition(part, k - 1, axis=1)[:, k - 1] + error)[:, None]
             break
-        a, b = query[:, stop : stop + BLOCK], rows[:, stop : stop + BLOCK]
-        part += (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T
-        stop = min(stop + BLOCK, dims)
+        alive = part <= (worst * (1 + SIGMAS / np.sqrt(stop)) ** 2 * (stop / dims))[:, None]
+        if np.count_nonzero(alive) <= FEW * alive.size:
+            break
+        at, stop = stop, min(stop + BLOCK, dims)
+        part += block(at, stop)
     q, x = np.nonzero(alive)
     part = part[q, x]
     while stop < dims:

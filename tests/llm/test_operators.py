@@ -214,6 +214,20 @@ def test_nearest_neighbours_recall_and_ties(spark):
     assert ann.nearest_neighbours(vectors.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("dims", [16, 40, 65])
+def test_scan_hands_on_few_but_the_nearest(dims):
+    """Vectors without structure, which no test of a block tells apart, and equal ones."""
+    rng = np.random.default_rng(4)
+    rows, query = rng.standard_normal((900, dims)), rng.standard_normal((50, dims))
+    rows[10:16] = rows[10]
+    query[0] = rows[10]
+    q, x = ann.scan(query, rows, 21)
+    far = ((query[:, None, :] - rows) ** 2).sum(axis=2)
+    nearest = np.argsort(far, axis=1, kind="stable")[:, :21]
+    assert {(i, j) for i in range(50) for j in nearest[i].tolist()} <= set(zip(q.tolist(), x.tolist(), strict=True))
+    assert len(q) <= 50 * 30
+
+
 @pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_classifier_on_held_out_labels(spark, module, label):
     sf = "/root/testdata/sf0.01"
