@@ -298,6 +298,48 @@ def test_near_copies_equal_all_pairs(spark, docs, monkeypatch, stars, sampled, s
     assert similar.similar_groups(rows.limit(0)).count() == 0
 
 
+def test_near_copies_by_turns_equal_all_pairs(spark, docs, monkeypatch):
+    monkeypatch.setattr(similar, "AT_ONCE", 0)
+    test_near_copies_equal_all_pairs(spark, docs, monkeypatch, 1, 16, 1)
+
+
+def test_near_copies_start_from_simhash_trees(spark, monkeypatch):
+    """The trees' groups are compared first, and change no result: too wide ones are cut, missed links found."""
+    rng = random.Random(13)
+    words = [f"v{i}" for i in range(3000)]
+    texts = []
+    for _ in range(8):
+        base = rng.choices(words, k=150)
+        for edits in (0, 1, 3, 5, 60):  # the last one is no near copy
+            changed = list(base)
+            for at in rng.sample(range(150), edits):
+                changed[at] = rng.choice(words)
+            texts.append(" ".join(changed))
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, row long, text string")
+    low = brute_components(dict(enumerate(texts)), lambda a, b: jaccard(a, b) >= 0.8)
+    for groups in ([(i, 0) for i in range(len(texts))], [(i, i % 7) for i in range(len(texts))]):
+        found = similar.similar_groups(rows, spark.createDataFrame(groups, "row long, group long"))
+        assert {r["row"]: r["component"] for r in found.collect()} == low
+    met, check = [], similar._Links.check
+    monkeypatch.setattr(similar._Links, "check", lambda self, pairs: (met.append(pairs.select("row", "row_a").collect()), check(self, pairs))[1])
+    kept = corpus_pipeline.drop_near_copies(spark, rows.select("doc_id", "text"), SF_DIR).collect()
+    assert {r["doc_id"] for r in kept} == set(low.values())
+    groups = simhash.simhash_groups(rows).where("doc_id <> component_id").count()
+    assert len(met[0]) == groups > 0
+
+
+def test_texts_of_their_own_words_bring_no_tokens(spark):
+    """Shared shingles, fewer than a similar text needs, must not bring rows of all texts together as texts grow in number."""
+    rng = random.Random(17)
+    lines = [" ".join(rng.choices("abcdefghij", k=8)) for _ in range(12)]
+    rows = [(i, " ".join([*rng.choices(lines, k=6), *(f"x{i}y{k}" for k in range(40))])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "row long, text string")
+    heads = similar.bitmap(docs.select(F.xxhash64("row").alias("h")), "h")
+    given, again = similar._frequent(docs.limit(0), 5, heads), similar._repeated(docs, 5, heads)
+    live = similar._prefix_tokens(docs, 5, 0.8, lambda: similar.Order(*given.value, again.value), heads)
+    assert live.count() == 0 and similar.similar_groups(docs).where("row <> component").count() == 0
+
+
 def test_pipeline_keeps_rows_without_ids_or_labels(spark, tmp_path):
     words = [" ".join(f"{p}{i}" for i in range(40)) for p in "abcde"]
     rows = [(None, words[0]), (None, words[1]), (1, words[2]), (1, words[3]), (7, words[2] + " more"), (None, words[4]), (9, words[4])]
