@@ -1,5 +1,6 @@
 """Each text operator against brute force, a round trip or held-out labels; edge rows and empty tables."""
 
+import collections
 import hashlib
 import random
 import re
@@ -340,6 +341,40 @@ def test_texts_of_their_own_words_bring_no_tokens(spark):
     assert live.count() == 0 and similar.similar_groups(docs).where("row <> component").count() == 0
 
 
+def test_repeated_tokens_are_told_without_a_table_of_counts(spark, docs, monkeypatch):
+    """Nearly all tokens are of one text; counts of them by task took the heap of an executor."""
+    counts = collections.Counter(t for r in docs.collect() for t in set(similar.shingle_set(r["text"], 5).tolist()))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text").union(spark.createDataFrame([(-1, "a b c d e f"), (-2, "B c D e f g"), (-3, None)], "row long, text string"))
+    counts.update(t for text in ("a b c d e f", "b c d e f g") for t in similar.shingle_set(text, 5).tolist())
+    heads, told, bitmap = similar.bitmap(rows.select(F.xxhash64("row").alias("h")), "h"), [], similar.bitmap
+    monkeypatch.setattr(similar, "bitmap", lambda df, column: (told.append(df), bitmap(df, column))[1])
+    similar._repeated(rows, 5, heads)
+    found = [r["token"] for r in told[0].collect()]
+    assert sorted(found) == sorted(t for t, n in counts.items() if n > 1)
+    assert "Aggregate" not in told[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_do_not_meet_in_every_bucket_of_their_tokens(spark, monkeypatch):
+    """Texts of a common passage share many tokens, and many pairs of tokens, and are compared once or twice for all."""
+    for name, value in (("AT_ONCE", 0), ("STARS", 0), ("SMALL", 1)):
+        monkeypatch.setattr(similar, name, value)
+    passages = {p: [f"{p}{i}" for i in range(60)] for p in ("L", "M", *(f"o{k}x" for k in range(12)))}
+    texts = [" ".join(passages[line] + passages[f"o{k}x"]) for line in "LM" for k in range(12)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    met, check = [], similar._Links.check
+    monkeypatch.setattr(similar._Links, "check", lambda self, pairs: (met.extend(map(tuple, pairs.select("row", "row_a").collect())), check(self, pairs))[1])
+    assert similar.similar_groups(rows).where("row <> component").count() == 0
+    assert len(met) <= 2 * 24 * 23 / 2
+
+
+def test_merged_buckets_keep_the_first_place(spark):
+    rows = [(t, r, 50, at + r, r) for t, at in ((7, 5), (3, 9), (9, 2)) for r in (1, 2, 4)]
+    rows += [(5, r, 50, 1, r) for r in (1, 2)] + [(6, 4, 50, 0, 4)]  # other rows, and one alone
+    left = spark.createDataFrame(rows, "token long, row long, n int, at int, root long")
+    found = {(r["token"], r["row"]): r["at"] for r in similar._distinct_buckets(left).collect()}
+    assert found == {(3, 1): 3, (3, 2): 4, (3, 4): 6, (5, 1): 1, (5, 2): 1}
+
+
 def test_pipeline_keeps_rows_without_ids_or_labels(spark, tmp_path):
     words = [" ".join(f"{p}{i}" for i in range(40)) for p in "abcde"]
     rows = [(None, words[0]), (None, words[1]), (1, words[2]), (1, words[3]), (7, words[2] + " more"), (None, words[4]), (9, words[4])]
