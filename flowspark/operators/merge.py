@@ -16,6 +16,8 @@ CHANGE = "_change"
 ROWS = "_rows"
 CONFLICT = "_conflict"
 OLD = "_old"
+#: Size of the set of bits that marks keys whose rows are read again.
+MARK_BITS = 1 << 20
 
 
 def _pack(columns: list[str]) -> Column:
@@ -50,26 +52,61 @@ def _summarise_differing(
     Those two are enough to find the last value that differs from any stored value:
     it is the last one, unless that equals the stored value, and then the other.
 
-    The different values of the keys are found once. Heads and tails both read all
-    columns of that shuffle, and neither filters it, so that Spark plans it, and the
-    snapshot below it, once. Heads carry the first value only; the last two are tails.
+    One shuffle by key gives the first and the last value and the number of rows, which tell
+    all of a key of one row, or of two in a known order. The rows of all other keys are read
+    again: a set of bits of fixed size says which rows those may be, and decided keys that it
+    lets through give the same answer twice.
     """
     known = reduce(Column.__and__, [F.col(k).isNotNull() for k in key])
-    distinct = snapshot.filter(known).groupBy(*key, *values).agg(
-        F.min(ordinal).alias("_min"), F.max(ordinal).alias("_max"), F.count("*").alias("_n")
+    rows = snapshot.filter(known)
+    heads = rows.groupBy(*key).agg(
+        F.min_by(_pack(values), F.col(ordinal)).alias("_first"),
+        F.max(F.struct(F.col(ordinal).alias("at"), _pack(values).alias("value"))).alias("_newest"),
+        F.min(ordinal).alias("_low"),
+        F.count("*").alias(ROWS),
     )
-    heads = distinct.groupBy(*key).agg(
-        F.min_by(_pack(values), F.col("_min")).alias("_first"),
-        F.sum(F.when(F.col("_max") < F.col("_min"), 0).otherwise(F.col("_n"))).alias(ROWS),  # reads _max, as tails do
+    newest, two = F.col("_newest.value"), F.col(ROWS) == 2
+    ordered = F.coalesce(F.col("_low") < F.col("_newest.at"), F.lit(False))
+    undecided = (F.col(ROWS) > 2) | (two & ~ordered)
+    # Reads all of the heads, as the join below does, so that both are planned as one shuffle; no harm if a hash is 0.
+    whole = F.xxhash64("_first", "_newest") == 0
+    again = rows.filter(_marked(heads.filter(undecided | whole), key))
+    tails = _last_two(again, key, values, ordinal)
+    before = F.when(two & ordered & ~newest.eqNullSafe(F.col("_first")), F.col("_first"))
+    summary = heads.join(tails, key, "left").select(
+        *key,
+        "_first",
+        F.coalesce(F.col("_tail"), F.when(F.col("_newest.at").isNotNull(), newest)).alias("_last"),
+        F.coalesce(F.col("_before"), before).alias("_previous"),
+        ROWS,
     )
+    return summary.withColumn(CONFLICT, F.col("_previous").isNotNull())
+
+
+def _marked(heads: DataFrame, key: list[str]) -> Column:
+    """Whether a row's key may be one of these heads, by a set of MARK_BITS bits, which a subquery makes."""
+
+    def word() -> Column:
+        return F.call_function("shiftright", bit, F.lit(6))
+
+    bit = F.pmod(F.xxhash64(*key), F.lit(MARK_BITS))
+    place = (bit % 64).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+    none = heads.sparkSession.range(MARK_BITS // 64).select("id", F.lit(0).cast("bigint").alias("bits"))
+    words = none.unionByName(heads.select(word().alias("id"), one.alias("bits"))).groupBy("id").agg(F.bit_or("bits").alias("bits"))
+    marks = words.agg(F.sort_array(F.collect_list(F.struct("id", "bits")))["bits"].alias("marks")).scalar()
+    return F.getbit(F.get(marks, word().cast("int")), place) == 1
+
+
+def _last_two(rows: DataFrame, key: list[str], values: list[str], ordinal: str) -> DataFrame:
+    """The last value of a key in _tail, and the last one that differs from it in _before."""
+    distinct = rows.groupBy(*key, *values).agg(F.max(ordinal).alias("_max"))
     newest = Window.partitionBy(*key).orderBy(F.col("_max").desc())
     ranked = distinct.withColumn("_rank", F.row_number().over(newest)).filter("_rank <= 2")
     last, previous = (F.col("_rank") == 1) & F.col("_max").isNotNull(), F.col("_rank") == 2
-    tails = ranked.groupBy(*key).agg(
-        F.max(F.when(last, _pack(values))).alias("_last"),
-        F.max(F.when(previous, _pack([*values, "_min", "_max", "_n"]))).alias("_previous"),
+    return ranked.groupBy(*key).agg(
+        F.max(F.when(last, _pack(values))).alias("_tail"), F.max(F.when(previous, _pack(values))).alias("_before")
     )
-    return heads.join(tails, key, "left").withColumn(CONFLICT, F.col("_previous").isNotNull())
 
 
 def _null_flag(column: str) -> str:
