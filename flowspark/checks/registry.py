@@ -467,9 +467,12 @@ def merge_clubs(s: Sample) -> DataFrame:
 
 
 def _changes(s: Sample) -> DataFrame:
-    """Staged changes of the transfers, with the values that updates replaced."""
-    merged = s.staged("merged", load.merge_transfers(s.stored_transfers, s.transfer_snapshot))
-    return aggregates.signed_changes(merged.filter(F.col(merge.CHANGE).isin("insert", "update")))
+    """Staged changes of the transfers: what they add, less the values that updates replaced.
+
+    The merge is written as that alone; most of its bytes are ids and rows that no aggregate reads.
+    """
+    merged = load.merge_transfers(s.stored_transfers, s.transfer_snapshot)
+    return s.staged("changes", aggregates.signed_changes(merged.filter(F.col(merge.CHANGE).isin("insert", "update"))))
 
 
 @_query

@@ -4,6 +4,8 @@ All are sums and counts, so Spark combines them before the shuffle and a hot key
 costs one row per task, not one task.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,21 @@ FLOW_MEASURES = ("total_fee_eur", "transfer_count", "loan_count")
 FLOW_COUNTS = ("transfer_count", "loan_count")
 CLUB_MEASURES = ("total_spent_eur", "total_received_eur", "players_bought", "players_sold")
 CLUB_COUNTS = ("players_bought", "players_sold")
+#: What a signed transfer adds.
+SIGNED = ("moves", "permanent_fee_eur", "permanent", "loans")
 
 
 def _zero_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(0).cast("bigint"))
 
 
+def _permanent(fee: Column, loan: Column) -> Column:
+    return F.when(~loan, _zero_if_null(fee)).otherwise(0)
+
+
 def permanent_fee() -> Column:
     """Fee of a permanent move; 0 for loans and unknown fees."""
-    return F.when(~F.col("fee_is_loan"), _zero_if_null(F.col("fee_eur"))).otherwise(0)
+    return _permanent(F.col("fee_eur"), F.col("fee_is_loan"))
 
 
 def flow_measures() -> list[Column]:
@@ -101,45 +109,55 @@ def club_summaries_by_window(transfers: DataFrame) -> DataFrame:
 
 
 def signed_changes(changes: DataFrame) -> DataFrame:
-    """Inserted and updated transfers as rows with a sign: new values count 1, replaced ones -1.
+    """Inserted and updated transfers as what they add: new values count 1, replaced ones -1.
 
     `changes` has the key and the new values of each transfer, and in _old the values that an
-    update replaced.
+    update replaced. An update within its window is one row, the difference; what adds
+    nothing is left out. Rows have the ends, the window, and in SIGNED the number of
+    transfers, their permanent fees, and how many are permanent and loans.
     """
-    ends, values = ["from_club_id", "to_club_id"], ("fee_eur", "fee_is_loan", "transfer_window")
+    ends = ["from_club_id", "to_club_id"]
     ends += COUNTRY_IDS if has_countries(changes) else ()
 
-    def row(sign: int, value) -> Column:
-        return F.struct(F.lit(sign).alias("sign"), *[F.col(c) for c in ends], *[value(v).alias(v) for v in values])
+    def measures(value: Callable[[str], Column]) -> list[Column]:
+        fee, loan = value("fee_eur"), value("fee_is_loan")
+        kinds = [F.when(kind, 1).otherwise(0).cast("bigint") for kind in (~loan, loan)]
+        return [F.lit(1).cast("bigint"), _permanent(fee, loan), *kinds]
+
+    def row(window: Column, values: list[Column]) -> Column:
+        return F.struct(window.alias("transfer_window"), *[v.alias(n) for n, v in zip(SIGNED, values, strict=True)])
 
-    both = changes.select(F.inline(F.array(row(1, F.col), row(-1, lambda v: F.col(f"_old.{v}")))))
-    signed = both.filter("sign = 1 or transfer_window is not null")
+    new, old = measures(F.col), measures(lambda v: F.col(f"_old.{v}"))
+    window, before = F.col("transfer_window"), F.col("_old.transfer_window")
+    added, taken = row(window, new), row(before, [-o for o in old])
+    net = row(window, [n - o for n, o in zip(new, old, strict=True)])
+    steps = F.when(before.isNull(), F.array(added)).when(before == window, F.array(net)).otherwise(F.array(added, taken))
+    signed = changes.select(*ends, F.inline(steps)).filter(" or ".join(f"{n} <> 0" for n in SIGNED))
     return signed.withColumn("window_key", window_key(F.col("transfer_window")))
 
 
 def flow_deltas(signed: DataFrame, clubs: DataFrame) -> DataFrame:
     """What signed transfers add to the flows of their country pairs and windows."""
-    sign, loan = F.col("sign"), F.col("fee_is_loan")
     return (
         with_countries(signed, clubs)
         .groupBy("from_country_id", "to_country_id", "transfer_window", "window_key")
         .agg(
-            F.sum(sign * permanent_fee()).alias("total_fee_eur"),
-            F.sum(F.when(~loan, sign).otherwise(0)).alias("transfer_count"),
-            F.sum(F.when(loan, sign).otherwise(0)).alias("loan_count"),
+            F.sum("permanent_fee_eur").alias("total_fee_eur"),
+            F.sum("permanent").alias("transfer_count"),
+            F.sum("loans").alias("loan_count"),
         )
     )
 
 
 def club_deltas(signed: DataFrame) -> DataFrame:
     """What signed transfers add to the summaries of their clubs and windows."""
-    zero, sign = F.lit(0).cast("bigint"), F.col("sign").cast("bigint")
-    fee, when = F.col("sign") * permanent_fee(), [F.col("transfer_window"), F.col("window_key")]
+    zero, moves, fee = F.lit(0).cast("bigint"), F.col("moves"), F.col("permanent_fee_eur")
+    when = [F.col("transfer_window"), F.col("window_key")]
     names = ("club_id", "transfer_window", "window_key", *CLUB_MEASURES)
     legs = both_sides(
         signed,
-        dict(zip(names, (F.col("to_club_id"), *when, fee, zero, sign, zero))),
-        dict(zip(names, (F.col("from_club_id"), *when, zero, fee, zero, sign))),
+        dict(zip(names, (F.col("to_club_id"), *when, fee, zero, moves, zero))),
+        dict(zip(names, (F.col("from_club_id"), *when, zero, fee, zero, moves))),
     )
     return legs.groupBy("club_id", "transfer_window", "window_key").agg(*sums(CLUB_MEASURES))
 

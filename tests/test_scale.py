@@ -2,8 +2,9 @@
 
 import os
 
+from flowspark.checks import registry
 from flowspark.checks.sample import Sample
-from flowspark.operators import merge, resolve
+from flowspark.operators import aggregates, merge, resolve
 from flowspark.plans import load
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -104,3 +105,29 @@ def test_a_merge_shuffles_each_row_once(spark):
         return (own.get().value() if own is not None and own.isDefined() else 0) + sum(written(below.apply(i)) for i in range(below.size()))
 
     assert written(plan) == 5000
+
+
+def test_changes_are_staged_as_what_they_add(spark):
+    """An update within its window is one row, not its new and its old values; ids and unchanged rows are not staged."""
+    value = "struct<fee_eur:long,fee_is_loan:boolean,transfer_window:string,season:string>"
+    rows = [
+        (1, 2, 50, False, "Summer 2000", "a", (20, False, "Summer 2000", "a")),
+        (1, 2, 50, False, "Winter 2000", "a", (20, False, "Summer 2000", "a")),
+        (3, 4, None, False, "Summer 2001", "a", (None, True, "Summer 2001", "a")),
+        (3, 4, 7, False, "Summer 2001", "b", (7, False, "Summer 2001", "a")),  # only the season
+        (5, 6, 9, True, "Summer 2001", "a", None),
+        (5, 6, 9, None, "Summer 2001", "a", (9, None, "Summer 2001", "a")),
+        (5, 7, 9, None, "Summer 2001", "a", None),
+        (5, 8, 4, False, None, "a", (1, False, "Summer 2001", "a")),
+        (5, 9, 4, False, "Summer 2001", "a", (1, False, None, "a")),
+    ]
+    kinds = "from_club_id long, to_club_id long, fee_eur long, fee_is_loan boolean, transfer_window string, season string"
+    signed = aggregates.signed_changes(spark.createDataFrame(rows, f"{kinds}, _old {value}"))
+    got = sorted(tuple(r[c] for c in ("from_club_id", "to_club_id", "transfer_window", *aggregates.SIGNED)) for r in signed.collect() if r["transfer_window"])
+    assert got == [
+        (1, 2, "Summer 2000", -1, -20, -1, 0), (1, 2, "Summer 2000", 0, 30, 0, 0), (1, 2, "Winter 2000", 1, 50, 1, 0),
+        (3, 4, "Summer 2001", 0, 0, 1, -1), (5, 6, "Summer 2001", 1, 0, 0, 1), (5, 7, "Summer 2001", 1, 0, 0, 0),
+        (5, 8, "Summer 2001", -1, -1, -1, 0), (5, 9, "Summer 2001", 1, 4, 1, 0),
+    ]
+    staged = registry._changes(Sample(spark, SF_DIR))
+    assert staged.columns == ["from_club_id", "to_club_id", "transfer_window", *aggregates.SIGNED, "window_key"]
