@@ -329,6 +329,26 @@ def test_near_copies_start_from_simhash_trees(spark, monkeypatch):
     assert len(met[0]) == groups > 0
 
 
+@pytest.mark.parametrize(("at_once", "stars", "small"), [(200_000, 4, 32), (0, 1, 1), (0, 4, 1)])
+def test_near_copies_compare_all_of_a_candidate_group(spark, monkeypatch, at_once, stars, small):
+    """Texts near each other, but not the first of their group, are linked by the group alone."""
+    for name, value in (("AT_ONCE", at_once), ("STARS", stars), ("SMALL", small)):
+        monkeypatch.setattr(similar, name, value)
+    words = {p: [f"{p}{i}" for i in range(80)] for p in "abcde"}
+    texts = [" ".join(words[p][: 80 - cut]) for p, cut in (("a", 0), ("b", 0), ("b", 3), ("c", 0), ("c", 2), ("b", 5), ("d", 0), ("e", 0), ("d", 1))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    n = [len(similar.shingle_set(t, 5)) for t in texts]
+    live = spark.createDataFrame([(-1 - k, k, n[k], 0) for k in range(9) if k != 7], "token long, row long, n int, at int")
+    given = spark.createDataFrame([(k, 0) for k in range(1, 8)], "row long, row_a long")
+    heads = similar.bitmap(docs.select(F.xxhash64("row").alias("h")), "h")
+    frequent, again = similar._frequent(docs.limit(0), 5, heads), similar._repeated(docs, 5, heads)
+    roots = similar._linked(live, given, docs, 5, 0.8, lambda: similar.Order(*frequent.value, again.value)).collect()
+    found = collections.defaultdict(set)
+    for r in roots:
+        found[r["root"]].add(r["node"])
+    assert sorted(map(sorted, found.values())) == [[1, 2, 5], [3, 4]]
+
+
 def test_texts_of_their_own_words_bring_no_tokens(spark):
     """Shared shingles, fewer than a similar text needs, must not bring rows of all texts together as texts grow in number."""
     rng = random.Random(17)
